@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import exact_dedup, mix_wfq
+from loomgraph.llm import exact_dedup, minhash, mix_wfq
 from loomgraph.llm.common import documents
 
 
@@ -18,6 +18,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_wfq.mix(documents(spark, sf_dir))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(documents(spark, sf_dir), width=3, threshold=85)
+
+
 OP4_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -63,5 +67,6 @@ FROM queued, cut
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op7_mix_sources": op7_mix_sources,
+    "op8_minhash": op8_minhash,
 }
 ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op7_mix_sources": OP7_SQL}
