@@ -92,18 +92,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, copies: int =
 
     sent = rows.where("size > 0").select("size", "key", "place", "doc_id", F.explode(F.array(*[f"finish{i}" for i in range(copies)])).alias("finish"))
     sent = sent.withColumn("tick", F.floor(F.least(F.col("finish"), F.lit(2.0)) * TICKS))
-    whole = plan.agg((F.sum("source_size") * F.lit(float(budget))).alias("budget"))
+    whole = (plan.agg(F.sum("source_size")).first()[0] or 0) * float(budget)
     ticks = sent.groupBy("tick").agg(F.sum("size").alias("words"))
     ticks = ticks.withColumn("upto", F.sum("words").over(Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)))
-    cut = ticks.crossJoin(F.broadcast(whole)).where("upto >= budget").agg(F.min_by(F.struct("tick", "words", "upto", "budget"), "tick").alias("c"))
-    at = cut.first()["c"]  # one row of four numbers
+    at = ticks.where(F.col("upto") >= whole).agg(F.min_by(F.struct("tick", "words", "upto"), "tick").alias("c")).first()["c"]
     if at is None:
         last = float("inf")
     else:
         one = sent.where(F.col("tick") == at["tick"])
         running = F.sum("size").over(Window.orderBy("finish", "key", "place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
         one = one.select("finish", (F.lit(at["upto"] - at["words"]) + running - F.col("size") / 2).alias("middle"))
-        last = one.where(F.col("middle") <= at["budget"]).agg(F.max("finish")).first()[0]
+        last = one.where(F.col("middle") <= whole).agg(F.max("finish")).first()[0]
         if last is None:  # the budget ends before the first row of this range
             last = sent.where(F.col("tick") < at["tick"]).agg(F.max("finish")).first()[0] or 0.0
     taken = sum((F.when(F.col(f"finish{i}") <= last, F.col("size")).otherwise(F.lit(0)) for i in range(copies)), F.lit(0))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import exact_dedup, minhash, mix_wfq
+from loomgraph.llm import exact_dedup, minhash, mix_wfq, packing, token_counts
 from loomgraph.llm.common import documents
 
 
@@ -22,6 +22,14 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(documents(spark, sf_dir), width=3, threshold=85)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_counts(documents(spark, sf_dir))
+
+
 OP4_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -68,5 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op8_minhash": op8_minhash,
+    "op9_packing": op9_packing,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op7_mix_sources": OP7_SQL}
