@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import exact_dedup, minhash, mix_wfq, packing, token_counts
+from loomgraph.llm import exact_dedup, lm_score, minhash, mix_wfq, packing, token_counts
 from loomgraph.llm.common import documents
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scores(documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -73,6 +77,7 @@ FROM queued, cut
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_lm_score": op3_lm_score,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op8_minhash": op8_minhash,
