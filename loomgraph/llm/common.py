@@ -71,8 +71,8 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, by: list[str
 
     A key that more than one row in a thousand carries is hot. There can be at
     most 1,000 such keys whatever the input, so their side is broadcast; all
-    other keys meet in a shuffled join. Rows of hot keys go to the shuffle under
-    a key spread over `by`, so no task gets more than its share.
+    other keys meet in a shuffled join. Rows of hot or null keys go to the shuffle
+    under a key spread over `by`, so no task gets more than its share.
 
     Empty inputs give an empty result; a null key finds nothing.
     """
@@ -80,11 +80,11 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, by: list[str
     total = groups.agg(F.sum(size)).first()[0] or 0
     limit = max(total // 1000, 1000)
     hot = groups.where(F.col(size) > limit).select(F.col(key).alias("__k"), F.struct(*values).alias("__hot"))
-    cold = groups.where(F.col(size) <= limit).select(F.col(key).alias("__c"), F.struct(*values).alias("__cold"))
-    kind = rows.schema[key].dataType
-    loose = F.concat(F.lit("~"), F.xxhash64(*by).cast("string")).cast(kind)
+    kept = lambda c: F.concat(F.lit("="), F.hex(c))
+    cold = groups.where(F.col(size) <= limit).select(kept(F.col(key)).alias("__c"), F.struct(*values).alias("__cold"))
+    loose = F.concat(F.lit("~"), F.hex(F.xxhash64(*by)))
     first = rows.join(F.broadcast(hot), F.col(key) == F.col("__k"), "left")
-    first = first.withColumn("__j", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(loose))
+    first = first.withColumn("__j", F.when(F.col("__hot").isNull() & F.col(key).isNotNull(), kept(F.col(key))).otherwise(loose))
     both = first.join(cold, F.col("__j") == F.col("__c"), "left")
     out = [F.coalesce(F.col("__hot")[v], F.col("__cold")[v]).alias(v) for v in values]
     return both.select(*rows.columns, *out, "__j")
