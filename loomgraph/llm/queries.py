@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import exact_dedup, lm_score, minhash, mix_wfq, packing, token_counts
+from loomgraph.llm import exact_dedup, lm_score, minhash, mix_wfq, packing, token_counts, toxicity
 from loomgraph.llm.common import documents
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scores(documents(spark, sf_dir))
 
@@ -77,6 +81,7 @@ FROM queued, cut
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_lm_score": op3_lm_score,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_mix_sources": op7_mix_sources,

@@ -61,11 +61,12 @@ def blocks(offsets: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word, A-Z lowered, and the offsets of each text's words."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each word, A-Z lowered; the offsets of each text's words; where
+    each word starts and ends. between: the bytes that are no part of a word."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    space = _SPACE[data]
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    space = between[data]
     before = np.empty(len(data), bool)
     before[0], before[1:] = True, space[:-1]
     before[offsets[:-1][offsets[:-1] < len(data)]] = True
@@ -76,7 +77,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     power, inverse = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * inverse[starts]), np.searchsorted(starts, offsets)
+    return mix64((sums[ends] - sums[starts]) * inverse[starts]), np.searchsorted(starts, offsets), starts, ends
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return words(data, offsets)[:2]
 
 
 def combine(parts: list[np.ndarray]) -> np.ndarray:
@@ -87,14 +92,14 @@ def combine(parts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def shingle_sets(words: np.ndarray, bounds: np.ndarray, width: int) -> Iterator[np.ndarray]:
+def shingle_sets(hashes: np.ndarray, bounds: np.ndarray, width: int) -> Iterator[np.ndarray]:
     """Sorted distinct hashes of each text's runs of `width` words; a shorter text
     is one run, one without words has none."""
-    runs = combine([words[i : len(words) - width + 1 + i] for i in range(width)]) if len(words) >= width else words[:0]
+    runs = combine([hashes[i : len(hashes) - width + 1 + i] for i in range(width)]) if len(hashes) >= width else hashes[:0]
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= width:
             yield np.unique(runs[a : b - width + 1])
         elif b > a:
-            yield combine([words[i : i + 1] for i in range(a, b)])
+            yield combine([hashes[i : i + 1] for i in range(a, b)])
         else:
-            yield words[:0]
+            yield hashes[:0]
