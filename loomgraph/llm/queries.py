@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import exact_dedup, lm_score, minhash, mix_wfq, packing, token_counts, toxicity
+from loomgraph.llm import (
+    exact_dedup,
+    html_density,
+    lm_score,
+    minhash,
+    mix_wfq,
+    packing,
+    secret_scan,
+    token_counts,
+    toxicity,
+)
 from loomgraph.llm.common import documents
 
 
@@ -22,6 +32,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(documents(spark, sf_dir))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_wfq.mix(documents(spark, sf_dir))
 
@@ -84,6 +102,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_lm_score": op3_lm_score,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_html_text": op5_html_text,
+    "op6_secret_scan": op6_secret_scan,
     "op7_mix_sources": op7_mix_sources,
     "op8_minhash": op8_minhash,
     "op9_packing": op9_packing,
