@@ -33,7 +33,7 @@ from loomgraph.llm import vectext
 from loomgraph.llm.common import Scratch
 
 DISCOUNT = 0.75
-BLOCK_TOKENS, SHARD_ENTRIES = 1_500_000, 3_000_000
+BLOCK_TOKENS, SHARD_ENTRIES = 700_000, 2_000_000
 START, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 
 
@@ -289,8 +289,9 @@ def _scoring(pair_shards: int, word_shards: int, tokens: int, types: int, discou
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _dealt(rows: DataFrame, run: Callable, schema: str, key: str, *order: str) -> DataFrame:
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+def _dealt(rows: DataFrame, n: int, run: Callable, schema: str, key: str, *order: str) -> DataFrame:
+    """Groups of key, of which there are n, dealt to so many tasks that few share one."""
+    return rows.repartition(2 * n, key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def scores(docs: DataFrame, discount: float = DISCOUNT, folds: int = 5, fold: int = 1) -> DataFrame:
@@ -307,23 +308,23 @@ def scores(docs: DataFrame, discount: float = DISCOUNT, folds: int = 5, fold: in
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.crc32(id_text) % folds != fold).alias("train"))
     made = "block long, doc_ids array<long>, train binary, ends binary, vocab binary, counts binary, toks binary, n_words long, n_pairs long"
     blocks = scratch.table(rows.mapInArrow(_blocks, made), "blocks")
-    n_words, n_pairs = blocks.agg(F.sum("n_words"), F.sum("n_pairs")).first()
+    n_words, n_pairs, n_blocks = blocks.agg(F.sum("n_words"), F.sum("n_pairs"), F.greatest(F.count(F.lit(1)), F.lit(1))).first()
     by_word, by_pair = (max(1, -(-(n or 0) // SHARD_ENTRIES)) for n in (n_words, n_pairs))
 
     asked = blocks.select("block", "train", "ends", "vocab", "toks").mapInArrow(_ask_pairs(by_pair), ASK)
-    pairs = scratch.table(_dealt(asked, _answer_pairs, ANSWER, "shard", "block"), "pairs")
+    pairs = scratch.table(_dealt(asked, by_pair, _answer_pairs, ANSWER, "shard", "block"), "pairs")
     none = F.lit(None).cast("binary")
     own = blocks.select("block", F.lit(-1).alias("shard"), "vocab", "counts", none.alias("states"), none.alias("kinds"))
     own = own.unionByName(pairs.select("block", "shard", "states", "kinds"), allowMissingColumns=True)
-    asked = _dealt(own, _ask_words(by_word), ASK, "block", "shard")
-    words = scratch.table(_dealt(asked, _answer_words, ANSWER, "shard", "block"), "words")
+    asked = _dealt(own, n_blocks, _ask_words(by_word), ASK, "block", "shard")
+    words = scratch.table(_dealt(asked, by_word, _answer_words, ANSWER, "shard", "block"), "words")
     sums = words.where("block = -1").select("totals").mapInArrow(_totals, "tokens long, types long").agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = (int(x or 0) for x in sums)
 
     whole = blocks.select("block", F.lit(0).alias("kind"), F.lit(-1).alias("shard"), "doc_ids", "train", "ends", "vocab", "toks")
     for kind, table in ((1, pairs.select("block", "shard", "width", "totals")), (2, words.where("block >= 0").select("block", "shard", "width", "totals", "kinds"))):
         whole = whole.unionByName(table.withColumn("kind", F.lit(kind)), allowMissingColumns=True)
-    return _dealt(whole, _scoring(by_pair, by_word, tokens, types, discount), SCORES, "block", "kind", "shard")
+    return _dealt(whole, n_blocks, _scoring(by_pair, by_word, tokens, types, discount), SCORES, "block", "kind", "shard")
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
