@@ -107,3 +107,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, copies: int =
             last = sent.where(F.col("tick") < at["tick"]).agg(F.max("finish")).first()[0] or 0.0
     taken = sum((F.when(F.col(f"finish{i}") <= last, F.col("size")).otherwise(F.lit(0)) for i in range(copies)), F.lit(0))
     return rows.select("doc_id", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), taken.cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, copies: int = COPIES, seed: int = 17) -> DataFrame:
+    """docs as the mix holds them: every row as often as it is taken, with all its
+    columns. Texts without words are never taken. Rows that share doc_id and size get
+    the same number of copies."""
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    taken = mix(docs, weights, budget, copies, seed).where("taken > 0")
+    times = taken.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    times = times.groupBy("__id", "__size").agg(F.max("__times").alias("__times"))
+    rows = docs.withColumn("__words", size).join(times, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")))
+    return rows.select(*[rows[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")

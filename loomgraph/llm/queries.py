@@ -15,11 +15,16 @@ from loomgraph.llm import (
     packing,
     secret_scan,
     token_counts,
+    topk_mtree,
     toxicity,
 )
 from loomgraph.llm.common import documents
 
 
+def op1_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_mtree.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -98,7 +103,21 @@ SELECT doc_id, size, source_size, coalesce(target, 0.0) AS target,
 FROM queued, cut
 """
 
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id),
+ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mtree_topk": op1_mtree_topk,
     "op2_toxicity": op2_toxicity,
     "op3_lm_score": op3_lm_score,
     "op4_exact_dedup": op4_exact_dedup,
@@ -109,4 +128,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op7_mix_sources": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_mtree_topk": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op7_mix_sources": OP7_SQL}
