@@ -39,7 +39,7 @@ from loomgraph.llm.common import Scratch, lookup
 ROWS, MISS = 5, 1e-7
 UNIVERSE = 1 << 22
 #: A task's share of a component: sets, and shingles in them.
-BLOCK_SETS, BLOCK_SHINGLES = 2048, 2_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
 _table: dict[int, np.ndarray] = {}
 
 
@@ -225,7 +225,8 @@ def near_groups(docs: DataFrame, width: int = 3, threshold: int = 85) -> DataFra
     shares = active.groupBy("label").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"), F.count(F.lit(1)).alias("members"))
     active = scratch.table(lookup(active, shares, "label", "members", ["cid"]).drop("members", "__j"), "active")
     same_id = F.col("d.doc_id").eqNullSafe(F.col("a.doc_id"))
-    texts = rows.alias("d").join(active.select("doc_id", "set_key", "cid").alias("a"), same_id).select("cid", "set_key", "text")
+    # the active classes grow with the input: they are dealt, never broadcast
+    texts = rows.alias("d").join(active.select("doc_id", "set_key", "cid").alias("a").hint("merge"), same_id).select("cid", "set_key", "text")
     sets = texts.mapInArrow(_setter(width), "cid long, shingles binary").dropDuplicates(["cid"])
     full = active.select("cid", "label", "parts", F.pmod(F.xxhash64("cid"), "parts").cast("int").alias("block")).join(sets, "cid")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
