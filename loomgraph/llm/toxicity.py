@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +27,7 @@ from loomgraph.llm import vectext
 
 BUCKETS, GRAMS, SIZE = 1 << 20, (3, 4, 5), 4
 #: Labelled documents of each class, at most: toxic and not.
-SAMPLE = (3000, 8000)
+SAMPLE = (2500, 6000)
 ROUNDS, RATE, SCALE, DECAY = 80, 0.1, 60.0, 0.01
 #: A feature is learned if words that hold it are in this share of the sample, and
 #: in 3 documents; a tenth of the sample says when to stop.
@@ -148,9 +147,16 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS) -> np.ndar
         kept.append(bucket[bucket >= 0])
     bucket, per_word = np.concatenate(kept), np.concatenate(per_word)
     del names, place, kept, spread
-    bounds = np.concatenate([[0], np.cumsum(per_word)])
     row = np.repeat(np.arange(len(labels)), np.diff(starts))
     total = np.maximum(np.bincount(row, often * per_word[at], len(labels)), 1)
+    # words of one document only count in the mean: their n-grams are learned from others
+    shared = held_in >= 2
+    bucket = bucket[np.repeat(shared, per_word)]
+    bounds = np.concatenate([[0], np.cumsum(per_word[shared])])
+    fresh = np.cumsum(shared) - 1
+    inside = shared[at]
+    at, row, often, n_words = fresh[at[inside]], row[inside], often[inside], int(shared.sum())
+    starts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(labels)))])
     docs = Bag(at, starts, (often / total[row]).astype(np.float32), n_words)
     words = Bag(bucket, bounds, np.ones(len(bucket), np.float32), len(used))
 
@@ -244,20 +250,38 @@ def fold(column, folds: int = 5):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def sample(docs: DataFrame, labels: DataFrame, held_out: int = 0, most: tuple[int, int] = SAMPLE) -> pd.DataFrame:
-    """text and toxic of the labelled documents to learn from, at most `most`."""
+def sample(docs: DataFrame, labels: DataFrame, held_out: int = 0, most: tuple[int, int] = SAMPLE) -> DataFrame:
+    """order, doc_id, text and toxic of the labelled documents to learn from, at most
+    `most` of each class."""
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.where(fold("doc_id") != held_out) if held_out is not None else marked
     marked = marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     picked = [marked.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(n) for k, n in ((1, most[0]), (0, most[1]))]
     picked = picked[0].union(picked[1])  # at most sum(most) rows: small enough to broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(order, "doc_id").select("text", "toxic").toPandas()
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(order.alias("order"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+
+
+def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts, labels = [], []
+    for batch in batches:
+        texts += batch.column("text").to_pylist()
+        labels += batch.column("toxic").to_pylist()
+    table = train(texts, np.array(labels, np.int64))
+    at = np.flatnonzero(~np.isnan(table))
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(table[at], pa.float64())], ["bucket", "weight"])
 
 
 def learned(docs: DataFrame, labels: DataFrame, held_out: int | None = 0) -> np.ndarray:
-    rows = sample(docs, labels, held_out)
-    return train(rows["text"].fillna("").tolist(), rows["toxic"].to_numpy())
+    """The trained table. The sample, of bounded size, is trained on in one task, and
+    only the buckets that were learned come to the driver."""
+    rows = sample(docs, labels, held_out).repartition(1).sortWithinPartitions("order", "doc_id").select("text", "toxic")
+    found = rows.mapInArrow(_training, "bucket int, weight double").toPandas()
+    table = np.full(BUCKETS + 1, np.nan)
+    table[found["bucket"]] = found["weight"]
+    if np.isnan(table[-1]):  # no rows, no task
+        table[-1] = -50.0
+    return table
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
