@@ -1,66 +1,17 @@
-"""Helpers that the training-data operators share: the shared scratch folder,
-materialised intermediate tables and a join that survives hot keys."""
+"""Helpers that the training-data operators share; above all, a join that survives
+hot keys."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.sources.scratch import Scratch, drop, shared_root
+
 #: A word: a run of anything but the space and the five ASCII controls \t..\r.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Only where the session has none (tests on one machine) a local one is made.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table through Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-class Scratch:
-    """Tables written to the shared folder, so that a lost executor costs only
-    the tasks it ran; they go when the application ends, or on drop()."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = f"{shared_root(spark)}/loomgraph/{name}-{uuid.uuid4().hex[:12]}"
-        _made.append((spark, self.path))
-
-    def table(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-        path = f"{self.path}/{name}"
-        df.write.option("compression", compression).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        drop(self.spark, f"{self.path}/{name}")
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            drop(spark, path)
-        except Exception:  # the application's JVM may have gone first
-            break
-
+__all__ = ["WORD", "Scratch", "documents", "drop", "lookup", "shared_root"]
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -246,4 +246,5 @@ def near_groups(docs: DataFrame, width: int = 3, threshold: int = 85) -> DataFra
 def keep_first(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     """docs without all but the smallest doc_id of each near-duplicate group."""
     dropped = near_groups(docs, width, threshold).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["__gone"], "left_anti")
+    # as many as the input has near copies: dealt at every size, never broadcast
+    return docs.join(dropped.hint("merge"), docs["doc_id"] == dropped["__gone"], "left_anti")

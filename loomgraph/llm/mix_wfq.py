@@ -117,5 +117,5 @@ def mixed(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, copies: int
     taken = mix(docs, weights, budget, copies, seed).where("taken > 0")
     times = taken.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
     times = times.groupBy("__id", "__size").agg(F.max("__times").alias("__times"))
-    rows = docs.withColumn("__words", size).join(times, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")))
+    rows = docs.withColumn("__words", size).join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")))
     return rows.select(*[rows[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")
