@@ -52,11 +52,12 @@ def run(argv: list[str], spark: SparkSession | None = None) -> dict:
     if a.command == "build-kg":
         at = config.endpoint(llm, a.base_url, a.api_key, a.model)
         backend = completions.http("prompt", [at["url"], *a.extra_urls], at["model"], at["api_key"], max_tokens=llm.get("max_tokens") or 4096, concurrency=llm.get("concurrency") or 8)
+        ask = completions.http("prompt", [at["url"], *a.extra_urls], at["model"], at["api_key"], max_tokens=4, concurrency=llm.get("concurrency") or 8)
         rounds = (settings.get("extraction") or {}).get("max_gleanings", 1)
         chunks = corpus.read_chunks(spark, a.input, a.limit)
         base = corpus.read_graph(spark, a.output) if a.merge else None
         least = (settings.get("graph") or {}).get("min_edge_weight", 1.0)
-        nodes, edges = pipeline.build_graph(chunks, pipeline.gleaned(backend, rounds), config.pick(a.checkpoint_every, llm.get("checkpoint_every"), 1000), least, base)
+        nodes, edges = pipeline.build_graph(chunks, pipeline.gleaned(backend, rounds, ask), config.pick(a.checkpoint_every, llm.get("checkpoint_every"), 1000), least, base)
         corpus.write_graph(nodes, edges, a.output)
         return {"nodes": nodes.count(), "edges": edges.count()}
     if a.command == "walk":
@@ -75,15 +76,16 @@ def run(argv: list[str], spark: SparkSession | None = None) -> dict:
             rows = corpus.read_walks(spark, a.walks)
             rows = rows.orderBy("cand").limit(a.limit) if a.limit else rows
             first, second = pipeline.inter_backends(call(config.pick(a.max_tokens, llm.get("sft_max_tokens"), 2048), a.temperature), call(5, 0.0))
-            done = qa.inter(rows, chunks, first, second)
-            corpus.write_json(pipeline.accepted(done), a.inter_output or f"{a.output_dir}/qa_inter")
-            out["inter"] = {r["status"]: r["n"] for r in qa.metrics(done).collect()}
+            target = a.inter_output or f"{a.output_dir}/qa_inter"
+            rows = rows.withColumn("key", F.md5(F.to_json(F.struct("nodes", "chunk_ids")).cast("binary")))
+            done = qa.inter(pipeline.resumed(rows, "key", target), chunks, first, second)
+            out["inter"] = pipeline.record(done.join(rows.select("cand", "key"), "cand"), "key", target)
         if a.type in ("intra", "both"):
             n = a.intra_limit or a.limit
             rows = chunks.orderBy("chunk_seq").limit(n) if n else chunks
-            done = qa.intra(rows, pipeline.intra_backend(call(config.pick(a.max_tokens, llm.get("sft_max_tokens"), 1024), a.temperature)))
-            corpus.write_json(pipeline.accepted(done), a.intra_output or f"{a.output_dir}/qa_intra")
-            out["intra"] = {r["status"]: r["n"] for r in qa.metrics(done).collect()}
+            target = a.intra_output or f"{a.output_dir}/qa_intra"
+            done = qa.intra(pipeline.resumed(rows, "id", target), pipeline.intra_backend(call(config.pick(a.max_tokens, llm.get("sft_max_tokens"), 1024), a.temperature)))
+            out["intra"] = pipeline.record(done, "id", target)
         return out
     if a.command == "export":
         nodes, edges = corpus.read_graph(spark, a.graph)

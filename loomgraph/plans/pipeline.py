@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph import templates
+from loomgraph.functions.text import strip
 from loomgraph.operators import chunking, extraction, graph, qa
 from loomgraph.sources import completions, corpus
 from loomgraph.sources.scratch import Scratch
@@ -20,16 +21,32 @@ def prepare(spark: SparkSession, source: str, target: str, size: int = 512, over
     return chunks.count()
 
 
-def gleaned(backend, rounds: int = 0) -> completions.Backend:
+def gleaned(backend, rounds: int = 0, ask=None) -> completions.Backend:
     """An extraction backend: the base call and up to `rounds` continuations, each on
-    the texts so far, glued together."""
+    the texts so far, glued together. Between continuations `ask` is asked whether
+    records are missing; only a Y goes on. Every call is written before its use."""
 
     def run(chunks: DataFrame) -> DataFrame:
-        rows = backend(chunks.withColumn("prompt", templates.extraction_prompt(F.col("text")))).withColumn("result", F.coalesce("completion", F.lit(""))).drop("completion", "error")
-        for _ in range(rounds):
-            said = F.concat(F.col("prompt"), F.lit("\n\n"), F.col("result"), F.lit("\n\n" + templates.CONTINUE))
-            rows = backend(rows.withColumn("first", F.col("prompt")).withColumn("prompt", said))
-            rows = rows.withColumn("result", F.concat("result", F.coalesce("completion", F.lit("")))).withColumn("prompt", F.col("first")).drop("completion", "error", "first")
+        scratch = Scratch(chunks.sparkSession, "glean")
+
+        def called(rows: DataFrame, call, more: str | None, name: str) -> DataFrame:
+            said = F.col("base") if more is None else F.concat(F.col("base"), F.lit("\n\n"), F.col("result"), F.lit("\n\n" + more))
+            rows = call(rows.withColumn("prompt", said)).withColumn("said", F.coalesce("completion", F.lit("")))
+            return scratch.table(rows.drop("completion", "error", "prompt"), name)
+
+        rows = chunks.withColumn("base", templates.extraction_prompt(F.col("text")))
+        rows = called(rows, backend, None, "0").withColumn("result", F.col("said")).drop("said")
+        done: list[DataFrame] = []
+        for i in range(rounds):
+            rows = called(rows, backend, templates.CONTINUE, f"more-{i}")
+            rows = rows.withColumn("result", F.concat("result", "said")).drop("said")
+            if i < rounds - 1 and ask is not None:
+                rows = called(rows, ask, templates.MORE, f"ask-{i}")
+                goes_on = F.upper(strip(F.col("said"))) == "Y"
+                done.append(rows.where(~goes_on).drop("said"))
+                rows = rows.where(goes_on).drop("said")
+        for part in done:
+            rows = rows.unionByName(part)
         return rows.select(F.col("id").alias("chunk_id"), "chunk_seq", "result")
 
     return run
@@ -73,13 +90,23 @@ def intra_backend(backend) -> completions.Backend:
     return lambda rows: backend(rows.withColumn("prompt", templates.fill(templates.INTRA, text=F.col("text")))).drop("error")
 
 
-def unfinished(rows: DataFrame, ledger: DataFrame | None, key: str) -> DataFrame:
-    """Rows whose key the ledger lacks: resuming never repeats or skips an input."""
-    return rows if ledger is None else rows.join(ledger.select(key).distinct(), key, "left_anti")
+def resumed(rows: DataFrame, key: str, out: str) -> DataFrame:
+    """Rows whose key is not in the ledger beside the output: resuming neither
+    repeats an input, whatever became of it, nor skips one."""
+    spark = rows.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}.ledger")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return rows
+    return rows.join(spark.read.parquet(f"{out}.ledger").select(key).distinct(), key, "left_anti")
 
 
-def accepted(samples: DataFrame) -> DataFrame:
-    return samples.where("status = 'ok'").select("conversations", "meta")
+def record(samples: DataFrame, key: str, out: str) -> dict[str, int]:
+    """Appends the accepted samples and then the ledger; the counts by status."""
+    samples = Scratch(samples.sparkSession, "samples").table(samples, "all")
+    corpus.write_json(accepted(samples), out, "append")
+    samples.select(key, "status").write.mode("append").parquet(f"{out}.ledger")
+    return {r["status"]: r["n"] for r in qa.metrics(samples).collect()}
 
 
-__all__ = ["accepted", "build_graph", "gleaned", "inter_backends", "intra_backend", "prepare", "qa", "unfinished"]
+def accepted(samples: DataFrame) -> DataFrame:
+    return samples.where("status = 'ok'").select("conversations", "meta")

@@ -15,7 +15,9 @@ def endpoint():
     class Handler(BaseHTTPRequestHandler):
         def do_POST(self):
             asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["messages"][0]["content"]
-            if "One word only." in asked:
+            if "Answer Y or N" in asked:
+                said = "N"
+            elif "One word only." in asked:
                 said = "PASS"
             elif "Final Answer:" in asked:
                 said = "Reasoning: " + "because it is so " * 4 + "\nQuestion: what is meant?\nFinal Answer: it"
@@ -62,11 +64,23 @@ def test_pipeline(spark, tmp_path, endpoint):
     walk = {"nodes": ["Alpha", "Beta"], "node_descriptions": ["a", "b"], "chunk_ids": [spark.read.json(at("chunks")).first().id, ""], "chunks_crossed": 2, "edges": [{"weight": 5.0, "description": ["near"], "text_unit_ids": []}]}
     (tmp_path / "walks.jsonl").write_text(json.dumps(walk) + "\n")
     assert cli.run(["gen-qa", "--walks", at("walks.jsonl"), "--chunks", at("chunks"), "--type", "both", "--output-dir", at("qa"), *model], spark) == {"inter": {"ok": 1}, "intra": {"ok": 4}}
+    assert cli.run(["gen-qa", "--walks", at("walks.jsonl"), "--chunks", at("chunks"), "--type", "both", "--output-dir", at("qa"), *model], spark) == {"inter": {}, "intra": {}}
     out = cli.run(["train", "--stage", "2", "--data_path", f"{at('qa/qa_inter')},{at('qa/qa_intra')}", "--output_dir", at("sft")], spark)
     assert out["lr"] == 1e-5 and out["effective_batch"] == 32 and spark.read.json(at("sft")).count() == 5
     assert cli.run(["walk", "--graph", at("graph"), "--output", at("walks"), "--num-walks", "3", "--config", "none"], spark)["walks"] == 0
 
 
+def test_gleaning_stops(spark, endpoint):
+    """Two continuations allowed, but the endpoint says N after the first."""
+    from loomgraph.plans import pipeline
+    from loomgraph.sources import completions
+
+    chunks = spark.createDataFrame([("c1", "text", 1)], "id string, text string, chunk_seq long")
+    call = completions.http("prompt", [endpoint], "m")
+    said = pipeline.gleaned(call, 2, call)(chunks).first().result
+    assert said.count("Alpha") == 4 and pipeline.gleaned(call, 2)(chunks).first().result.count("Alpha") == 6
+
+
 def test_nothing_to_read(spark, tmp_path):
     with pytest.raises(ValueError):
         cli.run(["prepare", "--input", str(tmp_path), "--output", str(tmp_path / "out")], spark)
