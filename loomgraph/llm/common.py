@@ -3,6 +3,11 @@ hot keys."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +16,26 @@ from loomgraph.sources.scratch import Scratch, drop, shared_root
 #: A word: a run of anything but the space and the five ASCII controls \t..\r.
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "Scratch", "documents", "drop", "lookup", "shared_root"]
+__all__ = ["WORD", "Scratch", "documents", "drop", "giving_back", "lookup", "shared_root"]
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def giving_back(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, for mapInArrow, that gives freed memory back to the system as its task
+    ends: workers live on through later stages, which need that memory themselves."""
+
+    def task(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # not in every C library
+                trim(0)
+
+    return task
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

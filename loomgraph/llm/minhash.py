@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import vectext
-from loomgraph.llm.common import Scratch, lookup
+from loomgraph.llm.common import Scratch, giving_back, lookup
 
 ROWS, MISS = 5, 1e-7
 UNIVERSE = 1 << 22
@@ -212,7 +212,7 @@ def near_groups(docs: DataFrame, width: int = 3, threshold: int = 85) -> DataFra
     bands = bands_for(threshold / 100)
     scratch = Scratch(docs.sparkSession, "minhash")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signs = scratch.table(rows.mapInArrow(_signer(width, bands), "doc_id long, n_shingles long, set_key binary, buckets array<long>"), "signs")
+    signs = scratch.table(rows.mapInArrow(giving_back(_signer(width, bands)), "doc_id long, n_shingles long, set_key binary, buckets array<long>"), "signs")
 
     classes = signs.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"))
     classes = scratch.table(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
@@ -227,12 +227,12 @@ def near_groups(docs: DataFrame, width: int = 3, threshold: int = 85) -> DataFra
     same_id = F.col("d.doc_id").eqNullSafe(F.col("a.doc_id"))
     # the active classes grow with the input: they are dealt, never broadcast
     texts = rows.alias("d").join(active.select("doc_id", "set_key", "cid").alias("a").hint("merge"), same_id).select("cid", "set_key", "text")
-    sets = texts.mapInArrow(_setter(width), "cid long, shingles binary").dropDuplicates(["cid"])
+    sets = texts.mapInArrow(giving_back(_setter(width)), "cid long, shingles binary").dropDuplicates(["cid"])
     full = active.select("cid", "label", "parts", F.pmod(F.xxhash64("cid"), "parts").cast("int").alias("block")).join(sets, "cid")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     pairs = full.withColumn("o", other).select("label", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "shingles", "cid")
     pairs = pairs.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "cid")
-    links = scratch.table(pairs.mapInArrow(_verifier(threshold), "u long, v long"), "links")
+    links = scratch.table(pairs.mapInArrow(giving_back(_verifier(threshold)), "u long, v long"), "links")
     joined = components(links, scratch, "links")
 
     named = classes.select("cid", "set_key", "doc_id", "size").join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))

@@ -24,9 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import giving_back
 from loomgraph.llm.tokenizing import default_path, encoder, text_blocks
 
 WINDOW, END, OPEN = 1024, 0, 4096
+#: Characters whose ids are worked out at once; a longer text is alone.
+BLOCK = 500_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -151,7 +154,7 @@ def _packing(path: str, window: int):
 
         for batch in batches:
             docs, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in text_blocks(texts):
+            for a, b in text_blocks(texts, BLOCK):
                 ids, bounds = own.encode(texts[a:b])
                 for k in range(b - a):
                     packer.add(docs[a + k], np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(END)))
@@ -172,4 +175,4 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
     columns are ignored; no rows in, no rows out.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_packing(path or default_path(), window), SCHEMA)
+    return rows.mapInArrow(giving_back(_packing(path or default_path(), window)), SCHEMA)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import vectext
+from loomgraph.llm.common import giving_back
 
 BUCKETS, GRAMS, SIZE = 1 << 20, (3, 4, 5), 4
 #: Labelled documents of each class, at most: toxic and not.
@@ -276,7 +277,7 @@ def learned(docs: DataFrame, labels: DataFrame, held_out: int | None = 0) -> np.
     """The trained table. The sample, of bounded size, is trained on in one task, and
     only the buckets that were learned come to the driver."""
     rows = sample(docs, labels, held_out).repartition(1).sortWithinPartitions("order", "doc_id").select("text", "toxic")
-    found = rows.mapInArrow(_training, "bucket int, weight double").toPandas()
+    found = rows.mapInArrow(giving_back(_training), "bucket int, weight double").toPandas()
     table = np.full(BUCKETS + 1, np.nan)
     table[found["bucket"]] = found["weight"]
     if np.isnan(table[-1]):  # no rows, no task
@@ -295,7 +296,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     table = learned(docs, labels)
     rows = docs.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "text")
-    found = rows.mapInArrow(_scoring(table), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
+    found = rows.mapInArrow(giving_back(_scoring(table)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -310,4 +311,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
             found = next(scoring(iter([only]))).column("score")
             yield batch.filter(pa.array(found.to_numpy() < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
