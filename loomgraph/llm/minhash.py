@@ -90,22 +90,33 @@ def _signer(width: int, bands: int):
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, label (the component's smallest node) of each node of edges(u, v).
 
-    Labels spread to neighbours and then jump to their own label's label, until
-    nothing changes; each round is a written table.
+    In each round every node with a smaller neighbour hooks to the smallest, hooks are
+    followed to their ends, and only the edges between different ends remain, each
+    once; so the work shrinks from round to round. Every step is a written table.
     """
-    both = scratch.table(edges.union(edges.select("v", "u")).where("u <> v").distinct().toDF("u", "v"), f"{name}-edges")
-    labels = scratch.table(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("label")), f"{name}-0")
-    for i in range(1, 100):
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("label", "near").alias("to"), F.col("label").alias("was"))
-        jump = labels.select(F.col("node").alias("to"), F.col("label").alias("far"))
-        step = step.join(jump, "to").select("node", F.least("to", "far").alias("label"), "was")
-        done = scratch.table(step, f"{name}-{i}")
-        same = done.where("label <> was").isEmpty()
-        labels = done.drop("was")
-        if same:
-            return labels
-    raise RuntimeError("labels did not settle")
+    ends = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    left = scratch.table(ends, f"{name}-left-0")
+    out = left.toDF("node", "label").where("false")
+    rounds: list[DataFrame] = []
+    while not left.isEmpty():
+        i = len(rounds)
+        hooks = scratch.table(left.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")), f"{name}-hooks-{i}-0")
+        moving, j = True, 0
+        while moving:  # each step doubles how far a hook reaches
+            j += 1
+            far = hooks.select(F.col("node").alias("label"), F.col("label").alias("far"))
+            step = hooks.join(far, "label", "left").select("node", F.coalesce("far", "label").alias("label"), F.col("far").isNotNull().alias("moved"))
+            step = scratch.table(step, f"{name}-hooks-{i}-{j}")
+            moving, hooks = not step.where("moved").isEmpty(), step.drop("moved")
+        rounds.append(hooks)
+        tops = hooks.select(F.col("node").alias("u"), F.col("label").alias("a")), hooks.select(F.col("node").alias("v"), F.col("label").alias("b"))
+        across = left.join(tops[0], "u").join(tops[1], "v", "left").select("a", F.coalesce("b", "v").alias("b")).where("a <> b")
+        left = scratch.table(across.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-left-{i + 1}")
+    for hooks in reversed(rounds):  # a node hooks once; what it hooked to may have hooked later
+        far = out.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        out = hooks.join(far, "label", "left").select("node", F.coalesce("far", "label").alias("label")).union(out)
+    out = scratch.table(out, f"{name}-hooked")
+    return scratch.table(out.union(out.select("label", "label").distinct()), f"{name}-labels")
 
 
 def linked(sets: list[np.ndarray], threshold: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -389,3 +390,32 @@ def test_pipeline(spark):
     assert set(times) <= {r.doc_id for r in near.collect()} and max(times.values()) <= 2
     assert {r.doc_id for r in packed.collect()} == set(times)
     assert corpus_pipeline.run(spark, SF).count() == packed.count()
+
+
+def smallest_reachable(edges):
+    label = {x: x for e in edges if e[0] != e[1] for x in e}
+    changed = True
+    while changed:
+        changed = False
+        for u, v in edges:
+            if u != v and label[u] != label[v]:
+                label[u] = label[v] = min(label[u], label[v])
+                changed = True
+    return label
+
+
+@pytest.mark.parametrize("kind", ["empty", "loop", "path", "star", "mixed path", "random"])
+def test_components(spark, kind):
+    rng = random.Random(3)
+    mixed = rng.sample(range(60), 60)
+    edges = {
+        "empty": [],
+        "loop": [(3, 3)],
+        "path": [(i, i + 1) for i in range(70)],
+        "star": [(99, i) for i in range(20)],
+        "mixed path": list(zip(mixed, mixed[1:], strict=False)),
+        "random": [(rng.randrange(150), rng.randrange(150)) for _ in range(120)],
+    }[kind]
+    rows = minhash.components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "test"), kind.replace(" ", "-")).collect()
+    assert {r.node: r.label for r in rows} == smallest_reachable(edges)
+    assert len(rows) == len({r.node for r in rows})
