@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +16,17 @@ from loomgraph.sources.scratch import Scratch
 #: Parameters of the registered graph and walk queries.
 MIN_WEIGHT, BATCHES = 3.0, 4
 WALKS = walks.WalkConfig(num_walks=150, max_retries=3, max_rounds=1, surplus=2.0)
+_whole: ContextVar[bool] = ContextVar("whole", default=False)
+
+
+@contextmanager
+def whole() -> Iterator[None]:
+    """Plans made inside take documents of every language; others English ones, as the SQL has."""
+    token = _whole.set(True)
+    try:
+        yield
+    finally:
+        _whole.reset(token)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +44,9 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents as one chunk each."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    """Documents as one chunk each: English ones, and all in `whole`."""
+    docs = table(spark, sf_dir, "documents")
+    docs = docs if _whole.get() else docs.where("lang = 'en'")
     return docs.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("id"), "text", F.lit("").alias("title"), "source", F.col("doc_id").alias("chunk_seq"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -413,8 +414,34 @@ def assistant_spans(spark, sf_dir):
 def stream_incremental(spark, sf_dir):
     """Chunk files taken in micro-batches into the mention log, and the graph of it."""
     root = Scratch(spark, "stream").path
-    chunks = fx.chunks(spark, sf_dir)
+    with fx.whole():
+        chunks = fx.chunks(spark, sf_dir)
     chunks.repartition(4, "id").write.json(f"{root}/in")
     incremental.run(spark, f"{root}/in", f"{root}/log", completions.rule)
     nodes, _ = incremental.tables(spark, f"{root}/log")
     return nodes.select("name", "frequency", F.size("text_unit_ids").alias("ids"))
+
+
+# ---- whole tables: the SQL of these has English documents only, so they have none
+
+WHOLE = (
+    "head_limit", "resume_offset", "parse_entities", "parse_relationships", "merge_entities", "merge_relationships", "orphan_filter",
+    "graph_nodes", "graph_edges", "graph_stats", "graph_merge_nodes", "graph_merge_edges", "node_degree", "covered_chunks", "pending_chunks",
+    "start_weights_rare", "start_weights_degree", "start_sample", "walk_hop1", "walks_raw", "walks_accepted", "walk_summary",
+    "path_text", "passages_text", "qa_parse", "qa_gates", "qa_inter", "qa_intra", "qa_yield",
+    "propgraph_nodes", "propgraph_rels", "propgraph_upsert", "export_batches",
+)
+
+
+def _over_all(f: Query) -> Query:
+    """The query over documents of every language."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with fx.whole():
+            return f(spark, sf_dir)
+
+    return run
+
+
+QUERIES |= {f"{name}_all": _over_all(QUERIES[name]) for name in WHOLE}
