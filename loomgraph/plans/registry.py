@@ -429,7 +429,7 @@ WHOLE = (
     "graph_nodes", "graph_edges", "graph_stats", "graph_merge_nodes", "graph_merge_edges", "node_degree", "covered_chunks", "pending_chunks",
     "start_weights_rare", "start_weights_degree", "start_sample", "walk_hop1", "walks_raw", "walks_accepted", "walk_summary",
     "path_text", "passages_text", "qa_parse", "qa_gates", "qa_inter", "qa_intra", "qa_yield",
-    "propgraph_nodes", "propgraph_rels", "propgraph_upsert", "export_batches",
+    "propgraph_nodes", "propgraph_rels", "export_batches",
 )
 
 
@@ -445,3 +445,15 @@ def _over_all(f: Query) -> Query:
 
 
 QUERIES |= {f"{name}_all": _over_all(QUERIES[name]) for name in WHOLE}
+
+
+@query(None)
+def propgraph_upsert_all(spark, sf_dir):
+    """All batches of every language, upserted one after the other."""
+    with fx.whole():
+        nodes = fx.batches(spark, sf_dir)[0].select(labels.label_of(F.col("type")).alias("label"), "name", "frequency", "batch_id")
+    nodes = Scratch(spark, "upsert").table(nodes, "nodes")
+    done = None
+    for b in range(fx.BATCHES):
+        done = propgraph.upsert(done, nodes.where(F.col("batch_id") == b).drop("batch_id"), ["label", "name"])
+    return done

@@ -46,3 +46,11 @@ def test_all_languages(spark, duck, name):
     wide = narrow.replace(" WHERE lang = 'en'", "")
     assert wide != narrow
     assert normal(registry.QUERIES[f"{name}_all"](spark, SF).toPandas()) == normal(duck.sql(wide).df())
+
+
+def test_every_batch_is_upserted(spark, duck):
+    wide = registry.ORACLES["propgraph_upsert"].replace(" WHERE lang = 'en'", "").replace(" WHERE batch_id < 2", "")
+    assert "batch_id <" not in wide and "lang" not in wide
+    got = registry.QUERIES["propgraph_upsert_all"](spark, SF).toPandas()
+    assert normal(got) == normal(duck.sql(wide).df())
+    assert set(got["name"]) == set(mentioned(spark))
