@@ -48,10 +48,11 @@ LINKED, LINKS = 0.6, 3
 
 
 class Block:
-    __slots__ = ("name", "parent", "items", "chars", "tags", "link_chars", "links", "density", "sum", "best")
+    __slots__ = ("name", "parent", "items", "chars", "tags", "link_chars", "links", "density", "sum", "best", "declared")
 
-    def __init__(self, name: str, parent: Block | None):
-        self.name, self.parent = name, parent
+    def __init__(self, name: str, parent: Block | None, declared: bool = False):
+        #: declared: whether its class or id names a part of the page that is no content.
+        self.name, self.parent, self.declared = name, parent, declared
         self.items: list[Block | str] = []
         self.chars = self.link_chars = self.links = 0
         self.tags = 1
@@ -69,8 +70,20 @@ def boilerplate(name: str, attributes: str, inside: bool) -> bool:
             return True
         if key == "role" and value in ROLES and not (name == "article"):
             return True
-        if key in ("class", "id") and name not in ("body", "html", "article", "main") and not PARTS.isdisjoint(_NAME.findall(value)):
-            return True
+    return False
+
+
+def declared(name: str, attributes: str) -> bool:
+    """Whether a whole class or id names a part of the page: all words of a hyphenated
+    one, as in cookie-notice; has-sidebar, ad-free and social-science name none."""
+    if not attributes or name in ("body", "html", "article", "main"):
+        return False
+    for key, value in _ATTRIBUTE.findall(attributes):
+        if key.lower() in ("class", "id"):
+            for token in value.strip("\"'").lower().split():
+                words = _NAME.findall(token)
+                if words and PARTS.issuperset(words):
+                    return True
     return False
 
 
@@ -162,22 +175,61 @@ def parse(page: str) -> Block:
         if skip < 0 and boilerplate(name, m[2], articles > 0):
             skip = len(stack)
             here.items.append(" ")
-        elif skip < 0 and name not in INLINE:
-            block = Block(name, here)
+        elif skip < 0 and ((part := declared(name, m[2])) or name not in INLINE):
+            block = Block(name, here, part)
             here.items.append(block)
             here = block
         stack.append((name, outside, link))
         in_link += link
         articles += name == "article"
+    drop_declared(body)
     return body
 
 
-def measure(body: Block) -> None:
+def _ordered(body: Block) -> list[Block]:
+    """All blocks, outer ones first."""
     order, todo = [], [body]
     while todo:
         block = todo.pop()
         order.append(block)
         todo += [i for i in block.items if isinstance(i, Block)]
+    return order
+
+
+def drop_declared(body: Block) -> None:
+    """Leaves out declared blocks, but none around an article or main element or, where
+    the page has neither, most of its unlinked characters. Inline ones that stay are
+    again part of their block."""
+    order = _ordered(body)
+    if not any(block.declared for block in order):
+        return
+    plain: dict[int, int] = {}
+    holds: dict[int, bool] = {}
+    for block in reversed(order):
+        inner = [i for i in block.items if isinstance(i, Block)]
+        plain[id(block)] = block.chars - block.link_chars + sum(plain[id(i)] for i in inner)
+        holds[id(block)] = any(i.name in ("article", "main") or holds[id(i)] for i in inner)
+    for block in reversed(order):
+        items: list[Block | str] = []
+        for i in block.items:
+            if not isinstance(i, Block) or not i.declared:
+                items.append(i)
+            elif not holds[id(i)] and (holds[id(body)] or 2 * plain[id(i)] <= plain[id(body)]):
+                items.append(" ")
+            elif i.name not in INLINE:
+                items.append(i)
+            else:
+                for j in i.items:
+                    if isinstance(j, Block):
+                        j.parent = block
+                    items.append(j)
+                block.chars, block.link_chars = block.chars + i.chars, block.link_chars + i.link_chars
+                block.tags, block.links = block.tags + i.tags - 1, block.links + i.links
+        block.items = items
+
+
+def measure(body: Block) -> None:
+    order = _ordered(body)
     for block in reversed(order):
         if block.parent is not None:
             for k in ("chars", "tags", "link_chars", "links"):
