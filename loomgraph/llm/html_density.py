@@ -43,8 +43,6 @@ _TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|/?([a-zA-Z][^\s/>]*)((?:[^
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME = re.compile(r"[a-z]+")
 _END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in RAW}
-#: A block this linked, with this many links, in content is a list of links.
-LINKED, LINKS = 0.6, 3
 
 
 class Block:
@@ -279,13 +277,11 @@ def _up(block: Block | None) -> Iterator[Block]:
         block = block.parent
 
 
-def _words(block: Block, out: list[str], top: bool) -> None:
-    if not top and block.links >= LINKS and block.link_chars > LINKED * block.chars and block.name != "p":
-        return
+def _words(block: Block, out: list[str]) -> None:
     out.append(" ")
     for i in block.items:
         if isinstance(i, Block):
-            _words(i, out, False)
+            _words(i, out)
         else:
             out.append(i)
     out.append(" ")
@@ -299,7 +295,7 @@ def main_text(page: str) -> str:
     while todo:
         block = todo.pop()
         if id(block) in chosen:
-            _words(block, out, True)
+            _words(block, out)
         else:
             todo += [i for i in reversed(block.items) if isinstance(i, Block)]
     return " ".join("".join(out).split())

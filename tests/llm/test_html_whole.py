@@ -25,3 +25,13 @@ def test_declared_parts_go():
 
 def test_inline_stays():
     assert html_density.main_text(f'<p>So: <span class="overlay">{SAID}</span> The end.</p>') == f"So: {SAID} The end."
+
+
+def test_lists_of_links():
+    """References and tables of linked entries are part of the article; its menu is not."""
+    linked = ["The river and its mills", "Floods of the valley", "A miller's diary"]
+    items = "".join(f'<li><a href="/{i}">{t}</a></li>' for i, t in enumerate(linked))
+    rows = "".join(f'<tr><td><a href="/{i}">{t}</a></td></tr>' for i, t in enumerate(linked))
+    for tag in ("article", "div"):
+        page = f'<{tag}><p>{SAID}</p><p>{MORE}</p><ul>{items}</ul><table>{rows}</table><nav><ul>{items}</ul></nav></{tag}>'
+        assert html_density.main_text(page) == " ".join([SAID, MORE, *linked, *linked])
