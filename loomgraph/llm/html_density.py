@@ -11,7 +11,7 @@ LT of its subtree, and the density
 (zeros count as 1), which links pull down. The block with the largest sum of its
 children's densities is content. The least density on the way from it up to the
 body is the threshold: other blocks that reach it add the largest-sum block of
-their own subtrees. If content lies in an article element, it is that article.
+their own subtrees. Content in an article element is all of that article.
 """
 
 from __future__ import annotations
@@ -254,18 +254,14 @@ def content(body: Block) -> list[Block]:
     if not body.chars:
         return []
     best = body.best
-    for block in _up(best):
-        if block.name == "article":
-            outer = [b for b in _up(best) if b.name == "article"][-1]
-            siblings = [i for i in (outer.parent.items if outer.parent else []) if isinstance(i, Block) and i.name == "article" and i.density >= outer.density]
-            return siblings if outer in siblings else [outer]
     threshold = min(b.density for b in _up(best))
     marked: list[Block] = []
     todo = [body]
     while todo:
         block = todo.pop()
         if block.density >= threshold:
-            marked.append(block.best if block.best.sum > 0 else block)
+            found = block.best if block.best.sum > 0 else block
+            marked.append(next((b for b in reversed(list(_up(found))) if b.name == "article"), found))
             todo += [i for i in block.items if isinstance(i, Block)]
     chosen = set(map(id, marked))
     return [b for b in marked if not any(id(u) in chosen for u in list(_up(b))[1:])]

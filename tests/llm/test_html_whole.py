@@ -35,3 +35,24 @@ def test_lists_of_links():
     for tag in ("article", "div"):
         page = f'<{tag}><p>{SAID}</p><p>{MORE}</p><ul>{items}</ul><table>{rows}</table><nav><ul>{items}</ul></nav></{tag}>'
         assert html_density.main_text(page) == " ".join([SAID, MORE, *linked, *linked])
+
+
+#: Six paragraphs of an article, and other blocks that make the body less dense.
+LONGER = [f"{MORE} {SAID}", SAID, MORE] * 2
+AROUND = "".join(f'<div><a href="/{i}">Page {i}</a></div>' for i in range(6))
+
+
+def paragraphs(*texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def test_second_article():
+    """One a little less dense than the first."""
+    page = f"<div><article>{paragraphs(*LONGER)}</article><article>{paragraphs(MORE, SAID, MORE)}</article></div>{AROUND}"
+    assert html_density.main_text(page) == " ".join([*LONGER, MORE, SAID, MORE])
+
+
+def test_beside_the_article():
+    """A lead and a section in main, next to the article."""
+    page = f"<main>{paragraphs(f'{SAID} {MORE}')}<article>{paragraphs(*LONGER)}</article><section>{paragraphs(MORE, SAID)}</section></main>{AROUND}<footer>{SAID}</footer>"
+    assert html_density.main_text(page) == " ".join([SAID, MORE, *LONGER, MORE, SAID])
