@@ -30,9 +30,9 @@ BUCKETS, GRAMS, SIZE = 1 << 20, (3, 4, 5), 4
 #: Labelled documents of each class, at most: toxic and not.
 SAMPLE = (2500, 6000)
 ROUNDS, RATE, SCALE, DECAY = 80, 0.1, 60.0, 0.01
-#: A feature is learned if words that hold it are in this share of the sample, and
-#: in 3 documents; a tenth of the sample says when to stop.
-SHARE, CHECK = 0.002, 10
+#: A feature is learned if words that hold it are in so many sampled documents; a
+#: tenth of the sample says when to stop.
+LEAST, CHECK = 3, 10
 #: Words whose features are worked out at once.
 CHUNK = 50_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -135,7 +135,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS) -> np.ndar
     for first in range(0, n_words, CHUNK):
         bucket, bounds = features(names[first : first + CHUNK])
         spread += np.bincount(bucket, np.repeat(held_in[first : first + CHUNK], np.diff(bounds)), BUCKETS)
-    used = np.flatnonzero(spread >= max(3, SHARE * len(labels)))
+    used = np.flatnonzero(spread >= LEAST)
     if not len(used):
         return nothing
     number = np.full(BUCKETS, -1, np.int32)
