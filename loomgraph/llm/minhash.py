@@ -80,8 +80,8 @@ def _signer(width: int, bands: int):
                     rows = signature(found, ROWS * bands).reshape(bands, ROWS).astype(np.uint64)
                     buckets.append(vectext.combine([salt, *rows.T]).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_key", "buckets"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "n_shingles", "set_key", "buckets"],
             )
 
     return run
@@ -220,12 +220,18 @@ def near_groups(docs: DataFrame, width: int = 3, threshold: int = 85) -> DataFra
     stands alone unless its set is shared. Extra columns are ignored; no rows in,
     no rows out.
     """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("text_key"))
+    return _grouped(rows, width, threshold).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _grouped(rows: DataFrame, width: int, threshold: int) -> DataFrame:
+    """near_groups of rows with a text_key, and that key; lead has the smallest id of a
+    group (none comes last) and the smallest text_key that goes with it."""
     bands = bands_for(threshold / 100)
-    scratch = Scratch(docs.sparkSession, "minhash")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signs = scratch.table(rows.mapInArrow(giving_back(_signer(width, bands)), "doc_id long, n_shingles long, set_key binary, buckets array<long>"), "signs")
+    scratch = Scratch(rows.sparkSession, "minhash")
+    signs = scratch.table(rows.mapInArrow(giving_back(_signer(width, bands)), "doc_id long, text_key binary, n_shingles long, set_key binary, buckets array<long>"), "signs")
 
-    classes = signs.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"))
+    classes = signs.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("lead"))
     classes = scratch.table(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     held = classes.select("cid", F.explode("buckets").alias("bucket"))
     hubs = held.groupBy("bucket").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -246,16 +252,22 @@ def near_groups(docs: DataFrame, width: int = 3, threshold: int = 85) -> DataFra
     links = scratch.table(pairs.mapInArrow(giving_back(_verifier(threshold)), "u long, v long"), "links")
     joined = components(links, scratch, "links")
 
-    named = classes.select("cid", "set_key", "doc_id", "size").join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    first = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.sum("size").alias("total"))
-    named = scratch.table(named.select("set_key", "size", "label").join(first, "label").where("total > 1").select("set_key", "size", "component_id"), "named")
-    out = lookup(signs.select("doc_id", "n_shingles", "set_key"), named, "set_key", "size", ["doc_id"])
+    named = classes.select("cid", "set_key", "doc_id", "size", "lead").join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    first = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.sum("size").alias("total"), F.min("lead").alias("lead"))
+    named = scratch.table(named.select("set_key", "size", "label").join(first, "label").where("total > 1").select("set_key", "size", "component_id", "lead"), "named")
+    out = lookup(signs.select("doc_id", "text_key", "n_shingles", "set_key"), named, "set_key", "size", ["doc_id"])
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "lead")
 
 
 def keep_first(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
-    """docs without all but the smallest doc_id of each near-duplicate group."""
-    dropped = near_groups(docs, width, threshold).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    """docs without all but the smallest doc_id of each near-duplicate group. Ids may
+    repeat or be null: rows go by id and text, a null id comes after all others, and of
+    several texts with the smallest id one stays. Rows equal in both stay together."""
+    key = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("text_key"))
+    first = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("text_key") == F.col("lead.text_key"))
+    dropped = _grouped(rows, width, threshold).where(F.col("lead").isNotNull() & ~first).select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__text")).distinct()
     # as many as the input has near copies: dealt at every size, never broadcast
-    return docs.join(dropped.hint("merge"), docs["doc_id"] == dropped["__gone"], "left_anti")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")) & (F.unhex(F.sha2(docs["text"].cast("binary"), 256)) == F.col("__text"))
+    return docs.join(dropped.hint("merge"), same, "left_anti")
