@@ -21,7 +21,8 @@ _whole: ContextVar[bool] = ContextVar("whole", default=False)
 
 @contextmanager
 def whole() -> Iterator[None]:
-    """Plans made inside take documents of every language; others English ones, as the SQL has."""
+    """Plans made inside take documents of every language and the operators' own walk
+    parameters and least weight; others English ones and few walks, as the SQL has."""
     token = _whole.set(True)
     try:
         yield
@@ -29,6 +30,14 @@ def whole() -> Iterator[None]:
         _whole.reset(token)
 
 
+def walk_config() -> walks.WalkConfig:
+    return walks.WalkConfig() if _whole.get() else WALKS
+
+
+def min_weight() -> float:
+    return graph.MIN_WEIGHT if _whole.get() else MIN_WEIGHT
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -63,7 +72,7 @@ def knowledge(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(spark, "graph")
     nodes = scratch.table(graph.collapse_nodes(ents), "nodes")
     kept = extraction.without_orphans(rels, nodes.withColumnRenamed("name", "title"))
-    return nodes, scratch.table(graph.collapse_edges(kept, min_weight=MIN_WEIGHT), "edges")
+    return nodes, scratch.table(graph.collapse_edges(kept, min_weight=min_weight()), "edges")
 
 
 def batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -72,7 +81,7 @@ def batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ents, rels = extraction.merge_entities(ents, "batch_id"), extraction.merge_relations(rels, "batch_id")
     nodes = graph.collapse_nodes(ents, "batch_id")
     kept = extraction.without_orphans(rels, nodes.withColumnRenamed("name", "title"), "batch_id")
-    return nodes, graph.collapse_edges(kept, "batch_id", min_weight=MIN_WEIGHT)
+    return nodes, graph.collapse_edges(kept, "batch_id", min_weight=min_weight())
 
 
 def bipartite(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

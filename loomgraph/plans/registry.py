@@ -200,7 +200,7 @@ def pending_chunks(spark, sf_dir):
 
 @query(sql.START_RARE)
 def start_weights_rare(spark, sf_dir):
-    return walks.start_weights(*fx.knowledge(spark, sf_dir), fx.WALKS).select("name", "degree", "weight")
+    return walks.start_weights(*fx.knowledge(spark, sf_dir), fx.walk_config()).select("name", "degree", "weight")
 
 
 @query(sql.START_DEGREE)
@@ -210,51 +210,51 @@ def start_weights_degree(spark, sf_dir):
 
 @query(sql.START_FALLBACK)
 def start_fallback(spark, sf_dir):
-    return walks.start_weights(*fx.bipartite(spark, sf_dir), fx.WALKS).select("name", "weight")
+    return walks.start_weights(*fx.bipartite(spark, sf_dir), fx.walk_config()).select("name", "weight")
 
 
 @query(sql.START_SAMPLE)
 def start_sample(spark, sf_dir):
-    intervals = walks.cumulative(walks.start_weights(*fx.knowledge(spark, sf_dir), fx.WALKS))
+    intervals = walks.cumulative(walks.start_weights(*fx.knowledge(spark, sf_dir), fx.walk_config()))
     cands = spark.range(1000).select(F.col("id").alias("cand"))
-    return walks.draw_starts(cands, intervals, fx.WALKS.seed)
+    return walks.draw_starts(cands, intervals, fx.walk_config().seed)
 
 
 def _starts(spark, sf_dir):
     nodes, edges = fx.knowledge(spark, sf_dir)
-    intervals = walks.cumulative(walks.start_weights(nodes, edges, fx.WALKS))
-    cands = spark.range(int(fx.WALKS.num_walks * fx.WALKS.surplus)).select(F.col("id").alias("cand"))
-    return walks.draw_starts(cands, intervals, fx.WALKS.seed), nodes, edges
+    intervals = walks.cumulative(walks.start_weights(nodes, edges, fx.walk_config()))
+    cands = spark.range(int(fx.walk_config().num_walks * fx.walk_config().surplus)).select(F.col("id").alias("cand"))
+    return walks.draw_starts(cands, intervals, fx.walk_config().seed), nodes, edges
 
 
 @query(sql.WALK_HOP1)
 def walk_hop1(spark, sf_dir):
     starts, nodes, edges = _starts(spark, sf_dir)
     front = starts.select("cand", F.lit(0).alias("attempt"), F.lit(3).alias("target"), F.array("start").alias("path"), F.array(F.lit("c0")).alias("chunks"), F.lit(True).alias("live"))
-    return walks.hop(front, walks.adjacency(nodes, edges), 1, fx.WALKS).select("cand", F.array_join("path", ">").alias("path"))
+    return walks.hop(front, walks.adjacency(nodes, edges), 1, fx.walk_config()).select("cand", F.array_join("path", ">").alias("path"))
 
 
 @query(sql.WALKS_RAW)
 def walks_raw(spark, sf_dir):
     starts, nodes, edges = _starts(spark, sf_dir)
-    rows = walks.attempts(starts, nodes, walks.adjacency(nodes, edges), 0, fx.WALKS.max_retries, fx.WALKS, Scratch(spark, "raw"))
+    rows = walks.attempts(starts, nodes, walks.adjacency(nodes, edges), 0, fx.walk_config().max_retries, fx.walk_config(), Scratch(spark, "raw"))
     return rows.select("cand", "attempt", F.array_join("path", ">").alias("path"), "accepted")
 
 
 @query(sql.WALKS_ACCEPTED)
 def walks_accepted(spark, sf_dir):
-    rows = walks.generate(*fx.knowledge(spark, sf_dir), fx.WALKS)
+    rows = walks.generate(*fx.knowledge(spark, sf_dir), fx.walk_config())
     return rows.select("cand", "attempt", F.array_join("path", ">").alias("path"), F.array_join("chunks", ">").alias("chunks"))
 
 
 @query(sql.WALK_SUMMARY)
 def walk_summary(spark, sf_dir):
-    return walks.summary(walks.generate(*fx.knowledge(spark, sf_dir), fx.WALKS))
+    return walks.summary(walks.generate(*fx.knowledge(spark, sf_dir), fx.walk_config()))
 
 
 def _walks(spark, sf_dir):
     nodes, edges = fx.knowledge(spark, sf_dir)
-    return walks.with_attributes(walks.generate(nodes, edges, fx.WALKS), nodes, edges)
+    return walks.with_attributes(walks.generate(nodes, edges, fx.walk_config()), nodes, edges)
 
 
 @query(sql.PATH_TEXT)

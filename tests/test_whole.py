@@ -54,3 +54,11 @@ def test_every_batch_is_upserted(spark, duck):
     got = registry.QUERIES["propgraph_upsert_all"](spark, SF).toPandas()
     assert normal(got) == normal(duck.sql(wide).df())
     assert set(got["name"]) == set(mentioned(spark))
+
+
+def test_own_parameters(spark, duck):
+    """Edges of every weight that the operators keep, and their own number of walks."""
+    wide = registry.ORACLES["graph_edges"].replace(" WHERE lang = 'en'", "").replace("weight >= 3.0", "weight >= 1.0")
+    assert normal(registry.QUERIES["graph_edges_all"](spark, SF).toPandas()) == normal(duck.sql(wide).df())
+    drawn = registry.QUERIES["walk_hop1_all"](spark, SF)
+    assert drawn.select("cand").distinct().count() == 15_000
