@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Unicode white space as Python's str methods see it; Java's \\s is ASCII only.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+WORD = r"[^\s\x1c-\x1f\x85\p{Z}]+"
 #: A float literal of Python: underscores between digits, no type suffix.
 _DIGITS = r"\d+(?:_\d+)*"
 FLOAT = rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?\z"
@@ -31,14 +34,34 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), rf"{SPACE}+"), lambda w: w != "")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once a row: a lambda over a larger array
+    would otherwise work it out again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def word_count(c: Column) -> Column:
+    """How many words `words` finds, without the array of them."""
+    return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(WORD))
+
+
+def window_count(n: Column, size: int = 512, overlap: int = 64) -> Column:
+    """How many windows n words make."""
+    last = F.ceil(F.greatest(n - size, F.lit(0)) / max(1, size - overlap)).cast("int")
+    return F.when(n > 0, last + 1).otherwise(0)
+
+
 def windows(ws: Column, size: int = 512, overlap: int = 64) -> Column:
     """Overlapping windows of a word array, each joined by single spaces; the last
     is the first that reaches the end. An empty array has none."""
     step = max(1, size - overlap)
-    n = F.size(ws)
-    last = F.ceil(F.greatest(n - size, F.lit(0)) / step).cast("int")
-    starts = F.when(n > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(ws, i * step + 1, size), " "))
+
+    def cut(w: Column) -> Column:
+        n = window_count(F.size(w), size, overlap)
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
+
+    return bound(ws, cut)
 
 
 def generated_id(source: Column, title: Column, number: Column) -> Column:

@@ -2,28 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import generated_id, is_blank, windows, words
-
-#: Records whose running number is summed in one task.
-RUN = 10_000
-
-
-def running_total(rows: DataFrame, major: str, minor: str, value: str, name: str) -> DataFrame:
-    """Adds the sum of `value` over all rows before each, in the order (major, minor).
-
-    Runs of up to `RUN` minors are summed first; the running sum over runs is on a
-    table of one row per run, and only rows of one run meet in a window.
-    """
-    keyed = rows.withColumn("__run", F.floor(F.col(minor) / RUN))
-    runs = keyed.groupBy(major, "__run").agg(F.sum(value).alias("__n"))
-    before = Window.orderBy(major, "__run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(major, "__run", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy(major, "__run").orderBy(minor).rowsBetween(Window.unboundedPreceding, -1)
-    out = keyed.join(runs, [major, "__run"]).withColumn(name, F.col("__base") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return out.drop("__run", "__base")
+from loomgraph.functions.text import generated_id, is_blank, window_count, windows, word_count, words
+from loomgraph.operators.scan import running_total
 
 
 def first_text(*candidates: Column) -> Column:
@@ -39,16 +22,18 @@ def meaningful_id(c: Column) -> Column:
 
 def chunk(records: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
     """records (file_seq, line_no, text, title, source, base_id) to chunks: id, text,
-    title, source, chunk_seq (the running number over all records).
+    title, source, chunk_seq (the running number over all records). file_seq may be any
+    value that sorts as the files do.
 
     A base id names the only piece itself and several with their numbers; without
     one the id comes from source, title, piece and the running number. The title
     heads the first piece. Blank records give none.
     """
     title = F.coalesce("title", F.lit(""))
-    pieces = records.where(~is_blank(F.col("text"))).select("file_seq", "line_no", "source", title.alias("title"), "base_id", windows(words(F.col("text")), size, overlap).alias("pieces"))
-    pieces = running_total(pieces.withColumn("n", F.size("pieces")), "file_seq", "line_no", "n", "base")
-    rows = pieces.select("source", "title", "base_id", "n", "base", F.posexplode("pieces").alias("i", "piece"))
+    n = window_count(word_count(F.col("text")), size, overlap)
+    rows = records.select("file_seq", "line_no", "source", title.alias("title"), "base_id", "text", n.alias("n")).where("n > 0")
+    rows = running_total(rows, "file_seq", "line_no", "n", "base")
+    rows = rows.select("source", "title", "base_id", "n", "base", F.posexplode(windows(words(F.col("text")), size, overlap)).alias("i", "piece"))
     seq = F.col("base") + F.col("i")
     made = generated_id(F.col("source"), F.concat_ws("_", "title", F.col("i").cast("string")), seq)
     named = F.when(F.col("n") == 1, F.col("base_id")).otherwise(F.concat_ws("_", "base_id", F.col("i").cast("string")))

@@ -63,10 +63,11 @@ def merge_nodes(batches: DataFrame) -> DataFrame:
 
 
 def merge_edges(batches: DataFrame) -> DataFrame:
-    """As merge_nodes, with the weights of all batches summed in their order."""
+    """As merge_nodes, with the weights of all batches summed in their order, an absent
+    one as 0."""
     rows = batches.groupBy("u", "v").agg(_by_batch("weight").alias("w"), _by_batch("description").alias("d"), _by_batch("text_unit_ids").alias("t"), F.min(F.struct("batch_id", "edge_ord")).alias("edge_ord"))
     return rows.select(
-        "u", "v", F.aggregate("w", F.lit(0.0), lambda a, x: a + x).alias("weight"),
+        "u", "v", F.when(F.size("w") == 1, F.col("w")[0]).otherwise(F.aggregate("w", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))).alias("weight"),
         F.concat(F.col("d")[0], _tail(F.col("d"), F.col("d")[0])).alias("description"),
         F.concat(F.col("t")[0], _tail(F.col("t"), F.col("t")[0])).alias("text_unit_ids"), "edge_ord",
     )

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import groupby, islice
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.labels import DEFAULT_REL, label_of, no_nulls, rel_type_of
+from loomgraph.operators.scan import prefix_sums
+from loomgraph.sources.scratch import Scratch, exists, replace_by
 
 
 def node_table(nodes: DataFrame) -> DataFrame:
@@ -22,9 +26,14 @@ def rel_table(nodes: DataFrame, edges: DataFrame, rel_type: str = DEFAULT_REL) -
 
 
 def batched(rows: DataFrame, by: list[str], order: str, size: int = 1000) -> DataFrame:
-    """Adds `batch`: rows of a group in order, `size` at a time."""
-    number = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
-    return rows.withColumn("batch", F.floor(number / size).cast("long"))
+    """Adds `batch`: rows of a group in order, `size` at a time. A group may hold most of
+    the rows: narrow rows are numbered by ranges, over all groups, and a group's own
+    numbers begin with its first."""
+    keyed = rows.withColumn("__group", F.struct(*by))
+    narrow = prefix_sums(keyed.select("__group", order, F.lit(1).alias("__one")), ["__group", order], "__one", "__n")
+    first = narrow.groupBy("__group").agg(F.min("__n").alias("__first"))
+    numbers = narrow.drop("__one").join(first, "__group").select("__group", order, F.floor((F.col("__n") - F.col("__first")) / size).cast("long").alias("batch"))
+    return keyed.join(numbers, ["__group", order]).select(*rows.columns, "batch")
 
 
 def upsert(base: DataFrame | None, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,19 +50,58 @@ def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def write(nodes: DataFrame, rels: DataFrame, path: str, clear: bool = False, by: int = 1000) -> dict[str, int]:
-    """Upserts both tables into Parquet under path; returns the rows written. The new
-    version is written beside the old one and then takes its name."""
-    from loomgraph.sources.scratch import drop
+NODE_KEYS = ["label", "name"]
+REL_KEYS = ["src_label", "rel_type", "tgt_label", "source_name", "target_name"]
+
+
+def with_ends(nodes: DataFrame, rels: DataFrame) -> DataFrame:
+    """nodes, and bare ones for ends of relationships that are not among them."""
+    ends = rels.select(F.col("src_label").alias("label"), F.col("source_name").alias("name")).unionAll(rels.select("tgt_label", "target_name")).distinct()
+    return nodes.unionByName(ends.join(nodes, NODE_KEYS, "left_anti"), allowMissingColumns=True)
 
+
+def write(nodes: DataFrame, rels: DataFrame, path: str, clear: bool = False) -> dict[str, int]:
+    """Upserts both tables into Parquet under path; returns the rows given. Ends of
+    relationships become nodes if they are none. The new version is written beside the
+    old one, which it replaces."""
     spark, out = nodes.sparkSession, {}
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for name, rows, keys in (("nodes", nodes, ["label", "name"]), ("relationships", rels, ["src_label", "rel_type", "tgt_label", "source_name", "target_name"])):
-        at, fresh = f"{path}/{name}", f"{path}/.{name}-new"
-        fs = jvm.org.apache.hadoop.fs.Path(at).getFileSystem(conf)
-        old = None if clear or not fs.exists(jvm.org.apache.hadoop.fs.Path(at)) else spark.read.parquet(at)
-        upsert(old, rows, keys).write.mode("overwrite").parquet(fresh)
-        drop(spark, at)
-        fs.rename(jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(at))
+    nodes = Scratch(spark, "export").table(nodes, "nodes")
+    rels = Scratch(spark, "export").table(rels, "rels")
+    for name, rows, keys in (("nodes", nodes, NODE_KEYS), ("relationships", rels, REL_KEYS)):
+        at = f"{path}/{name}"
+        old = spark.read.parquet(at) if not clear and exists(spark, at) else None
+        whole = upsert(old, rows, keys)
+        whole = with_ends(whole, rels) if name == "nodes" else whole
+        whole.write.mode("overwrite").parquet(f"{path}/.{name}-new")
+        replace_by(spark, at, f"{path}/.{name}-new")
         out[name] = rows.count()
     return out
+
+
+def send(nodes: DataFrame, rels: DataFrame, server, batch: int = 1000, clear: bool = False, tasks: int = 4) -> dict[str, int]:
+    """Sends both tables to a graph server, nodes before relationships, `batch` rows of
+    one label (or one kind of relationship) at a time; returns the rows sent.
+
+    server is a picklable object whose `session()` is a context with clear(),
+    unique(label), nodes(label, rows) and relationships(src, type, tgt, rows); these
+    upsert, so a task that is run again does no harm. `tasks` tasks send at once; a label
+    that most nodes have is dealt to all of them.
+    """
+    with server.session() as s:
+        if clear:
+            s.clear()
+        for row in nodes.select("label").distinct().toLocalIterator():
+            s.unique(row["label"])
+
+    def sending(keys: list[str], put):
+        def run(rows) -> None:
+            with server.session() as s:
+                for group, members in groupby((r.asDict() for r in rows), key=lambda r: tuple(r[k] for k in keys)):
+                    while part := [{k: v for k, v in r.items() if k not in keys} for r in islice(members, batch)]:
+                        getattr(s, put)(*group, part)
+
+        return run
+
+    for rows, names, keys, put in ((nodes.drop("node_ord"), NODE_KEYS, NODE_KEYS[:1], "nodes"), (rels.drop("edge_ord"), REL_KEYS, REL_KEYS[:3], "relationships")):
+        rows.repartition(tasks, *names).sortWithinPartitions(*names).foreachPartition(sending(keys, put))
+    return {"nodes": nodes.count(), "relationships": rels.count()}

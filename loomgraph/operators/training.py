@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 ROLES = {"human": "user", "gpt": "assistant"}
 SYSTEM = "You are a helpful assistant."
 LEARNING_RATES = {0: 2e-5, 1: 2e-5, 2: 1e-5}
+RUN_NAMES = {0: "mix", 1: "stage-1", 2: "stage-2"}
 
 
 def role(c: Column) -> Column:
@@ -67,6 +70,19 @@ def rendered(msgs: Column, template: str = "plain", eos: str = "</s>") -> Column
     return F.struct(F.array_join(F.transform(pieces, lambda p: p["text"]), "").alias("text"), spans.alias("spans"))
 
 
+def template_of(model_path: str | None) -> tuple[str, str]:
+    """The chat format for a model folder, and its end-of-text token: the plain one if
+    the tokenizer has no chat template of its own (or there is none to read), else the
+    one with markers."""
+    try:
+        with open(os.path.join(model_path or "", "tokenizer_config.json"), encoding="utf-8") as f:
+            found = json.load(f)
+    except OSError:
+        return "plain", "</s>"
+    eos = found.get("eos_token") or "</s>"
+    return ("im" if found.get("chat_template") else "plain"), eos["content"] if isinstance(eos, dict) else eos
+
+
 def schedule(stage: int, per_device: int = 4, accumulate: int = 8, world: int = 1, lr: float | None = None) -> dict:
     """A stage's numbers for the trainer; a learning rate of 0 counts as not given."""
     return {"stage": stage, "effective_batch": per_device * accumulate * world, "lr": lr or LEARNING_RATES[stage]}

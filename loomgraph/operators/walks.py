@@ -51,6 +51,11 @@ def start_weights(nodes: DataFrame, edges: DataFrame, cfg: WalkConfig) -> DataFr
     return rows.join(F.broadcast(any_rare), F.lit(True)).withColumn("weight", F.when(F.col("any"), rare).otherwise(degree)).drop("any")
 
 
+def eligible(weights: DataFrame) -> DataFrame:
+    """nodes, eligible: how many nodes there are, and how many a walk may start at."""
+    return weights.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("weight") > 0).alias("eligible"))
+
+
 def cumulative(weights: DataFrame) -> DataFrame:
     """part, name, low, high (whole units): each eligible node's interval."""
     rows = weights.withColumn("units", F.floor(F.col("weight") * UNIT).cast("decimal(38,0)")).where("units > 0")
@@ -64,13 +69,15 @@ def cumulative(weights: DataFrame) -> DataFrame:
 
 
 def draw_starts(candidates: DataFrame, intervals: DataFrame, seed: int) -> DataFrame:
-    """cand, start: a node for each candidate, by weight. The candidate's point is
-    placed among the (at most 4,096) parts first, then within its part."""
-    parts = intervals.groupBy("part").agg(F.min("low").alias("from"), F.max("high").alias("to"))
-    total = parts.agg(F.max("to").alias("total"))
-    points = candidates.join(F.broadcast(total), F.lit(True)).select("cand", (hashed_uniform(seed, "start", F.col("cand")) * F.col("total")).alias("point"))
-    points = points.join(F.broadcast(parts), (F.col("point") >= F.col("from")) & (F.col("point") < F.col("to")))
-    found = points.select("cand", "point", "part").join(intervals, "part").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
+    """cand, start: a node for each candidate, by weight. [0, total) is cut into as many
+    even buckets as there are nodes; a node is in all that its interval touches (at most
+    twice as many rows as nodes, whatever the weights), a candidate's point in one."""
+    whole = intervals.agg(F.max("high").alias("total"), (F.max("high") / F.count(F.lit(1))).alias("width"))
+    place = lambda c: F.floor(F.col(c) / F.col("width"))
+    points = candidates.join(F.broadcast(whole), F.lit(True)).select("cand", "width", (hashed_uniform(seed, "start", F.col("cand")) * F.col("total")).alias("point"))
+    points = points.select("cand", "point", place("point").alias("bucket"))
+    held = intervals.join(F.broadcast(whole), F.lit(True)).select("name", "low", "high", F.explode(F.sequence(place("low"), place("high"))).alias("bucket"))
+    found = points.join(held, "bucket").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
     return found.select("cand", F.col("name").alias("start"))
 
 
@@ -80,7 +87,7 @@ def primary(c: str) -> Column:
 
 def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """a, b, weight, b_chunk: both directions of every edge but self-loops."""
-    there = edges.where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b"), "weight")
+    there = edges.where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b"), F.coalesce("weight", F.lit(1.0)).alias("weight"))
     both = there.unionAll(there.select("b", "a", "weight"))
     return both.join(nodes.select(F.col("name").alias("b"), primary("text_unit_ids").alias("b_chunk")), "b").select("a", "b", "weight", "b_chunk")
 

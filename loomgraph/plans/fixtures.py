@@ -13,29 +13,25 @@ from loomgraph.operators import extraction, graph, walks
 from loomgraph.sources import completions
 from loomgraph.sources.scratch import Scratch
 
-#: Parameters of the registered graph and walk queries.
-MIN_WEIGHT, BATCHES = 3.0, 4
-WALKS = walks.WalkConfig(num_walks=150, max_retries=3, max_rounds=1, surplus=2.0)
-_whole: ContextVar[bool] = ContextVar("whole", default=False)
+#: Batches of the registered queries that merge graphs, and the walks of those that
+#: have SQL: as many candidates as walks in a round, so further rounds are needed.
+BATCHES = 4
+WALKS = walks.WalkConfig(num_walks=500, max_retries=4, surplus=1.0)
+_full: ContextVar[bool] = ContextVar("full", default=False)
 
 
 @contextmanager
-def whole() -> Iterator[None]:
-    """Plans made inside take documents of every language and the operators' own walk
-    parameters and least weight; others English ones and few walks, as the SQL has."""
-    token = _whole.set(True)
+def full_walks() -> Iterator[None]:
+    """Plans made inside generate walks with the operator's own parameters."""
+    token = _full.set(True)
     try:
         yield
     finally:
-        _whole.reset(token)
+        _full.reset(token)
 
 
 def walk_config() -> walks.WalkConfig:
-    return walks.WalkConfig() if _whole.get() else WALKS
-
-
-def min_weight() -> float:
-    return graph.MIN_WEIGHT if _whole.get() else MIN_WEIGHT
+    return walks.WalkConfig() if _full.get() else WALKS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,9 +49,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as one chunk each: English ones, and all in `whole`."""
+    """Documents as one chunk each."""
     docs = table(spark, sf_dir, "documents")
-    docs = docs if _whole.get() else docs.where("lang = 'en'")
     return docs.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("id"), "text", F.lit("").alias("title"), "source", F.col("doc_id").alias("chunk_seq"))
 
 
@@ -72,7 +67,7 @@ def knowledge(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(spark, "graph")
     nodes = scratch.table(graph.collapse_nodes(ents), "nodes")
     kept = extraction.without_orphans(rels, nodes.withColumnRenamed("name", "title"))
-    return nodes, scratch.table(graph.collapse_edges(kept, min_weight=min_weight()), "edges")
+    return nodes, scratch.table(graph.collapse_edges(kept), "edges")
 
 
 def batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -81,7 +76,7 @@ def batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ents, rels = extraction.merge_entities(ents, "batch_id"), extraction.merge_relations(rels, "batch_id")
     nodes = graph.collapse_nodes(ents, "batch_id")
     kept = extraction.without_orphans(rels, nodes.withColumnRenamed("name", "title"), "batch_id")
-    return nodes, graph.collapse_edges(kept, "batch_id", min_weight=min_weight())
+    return nodes, graph.collapse_edges(kept, "batch_id")
 
 
 def bipartite(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

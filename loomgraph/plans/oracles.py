@@ -37,8 +37,9 @@ FALLBACK = """SELECT doc_id AS line_no, 't' || doc_id AS text, CASE WHEN doc_id
   CASE doc_id % 8 WHEN 0 THEN CASE WHEN doc_id = 0 THEN 'none' ELSE CAST(doc_id AS VARCHAR) END WHEN 1 THEN 't' || doc_id WHEN 6 THEN '0' ELSE 'none' END AS base_id
   FROM documents WHERE doc_id % 8 IN (0, 1, 2, 3, 6)"""
 
-_CHUNKS = "chunks AS (SELECT 'c' || doc_id AS id, text, '' AS title, source, doc_id AS chunk_seq FROM documents WHERE lang = 'en')"
+_CHUNKS = "chunks AS (SELECT 'c' || doc_id AS id, text, '' AS title, source, doc_id AS chunk_seq FROM documents)"
 HEAD = f"WITH {_CHUNKS} SELECT id, chunk_seq FROM chunks ORDER BY chunk_seq LIMIT 25"
+FILES = f"WITH {_CHUNKS} SELECT id, row_number() OVER (ORDER BY chunk_seq) - 1 AS chunk_seq, CAST(floor((row_number() OVER (ORDER BY chunk_seq) - 1) / 40) AS BIGINT) AS batch_id FROM chunks"
 OFFSET = f"WITH {_CHUNKS} SELECT id, chunk_seq FROM chunks ORDER BY chunk_seq LIMIT 20 OFFSET 10"
 
 _MENTIONS = f"""{_CHUNKS},
@@ -62,7 +63,7 @@ def _graph(by: str = "") -> str:
 nodes AS (SELECT {by} title AS name, arg_max(type, first_seq) AS type, arg_max(description, first_seq) AS description, arg_max(text_unit_ids, first_seq) AS text_unit_ids,
                  arg_max(frequency, first_seq) AS frequency, min(first_seq) AS node_ord FROM ments GROUP BY {by} title),
 edges AS (SELECT {by} least(source, target) AS u, greatest(source, target) AS v, arg_max(weight, first_seq) AS weight, arg_max(description, first_seq) AS description,
-                 arg_max(text_unit_ids, first_seq) AS text_unit_ids, min(first_seq) AS edge_ord FROM mrels WHERE weight >= 3.0 GROUP BY {by} least(source, target), greatest(source, target))"""
+                 arg_max(text_unit_ids, first_seq) AS text_unit_ids, min(first_seq) AS edge_ord FROM mrels WHERE weight >= 1.0 GROUP BY {by} least(source, target), greatest(source, target))"""
 
 
 _M = f"WITH {_MENTIONS}"
@@ -71,6 +72,7 @@ _J = lambda c: f"array_to_string({c}, '|') AS {c}"
 ENTITIES = f"{_M} SELECT title, type, description, source_id FROM ent"
 RELATIONS = f"{_M} SELECT source, target, description, weight, source_id FROM rel"
 GLEAN = """SELECT 'c' || doc_id AS source_id, title, 'MODEL' AS type, description FROM documents, (VALUES ('A', 'first'), ('"D"', 'kept')) AS v(title, description)"""
+SKIPPED = """SELECT 'f' AS source, CASE doc_id % 8 WHEN 4 THEN 'kind' ELSE 'invalid' END AS status, count(*) AS n FROM documents WHERE doc_id % 8 IN (4, 5) GROUP BY 2"""
 WEIGHTS = """SELECT * FROM (VALUES ('3', '3.0'), ('2.5', '2.5'), ('1_000', '1000.0'), ('1d', '1.0'), ('', '1.0'), ('nan', 'NaN'), ('-Infinity', '-Infinity'),
   (' 4e2 ', '400.0'), ('0x10', '1.0'), ('.5', '0.5'), ('5.', '5.0'), ('1__0', '1.0')) AS t(raw, weight)"""
 MERGED_ENTITIES = f"{_M}, {_merged()} SELECT title, type, {_J('description')}, {_J('text_unit_ids')}, frequency, first_seq FROM ments"
@@ -107,14 +109,19 @@ SELECT name, type, array_to_string({_UNSEEN('d')}, '|') AS description, array_to
        CASE WHEN k = 1 THEN f ELSE CAST(len({_UNSEEN('t')}) AS BIGINT) END AS frequency FROM g"""
 FOLDED_EDGES = f"""{_B}, g AS (SELECT u, v, sum(weight) AS weight, {_tail('description')} AS d, {_tail('text_unit_ids')} AS t FROM edges GROUP BY u, v)
 SELECT u, v, weight, array_to_string({_UNSEEN('d')}, '|') AS description, array_to_string({_UNSEEN('t')}, '|') AS text_unit_ids FROM g"""
+MIN_WEIGHT = f"""{_M}, {_merged()} SELECT least(source, target) AS u, greatest(source, target) AS v, arg_max(weight, first_seq) AS weight
+FROM mrels WHERE weight >= 6.0 GROUP BY 1, 2"""
+STREAMED = f"""{_B}, g AS (SELECT name, {_tail('text_unit_ids')} AS t, count(*) AS k, min(frequency) AS f FROM nodes GROUP BY name)
+SELECT name, CASE WHEN k = 1 THEN f ELSE CAST(len({_UNSEEN('t')}) AS BIGINT) END AS frequency, CAST(len({_UNSEEN('t')}) AS INTEGER) AS ids FROM g"""
 COVERED = f"{_G} SELECT DISTINCT unnest(text_unit_ids) AS id FROM nodes"
 PENDING = f"{_B} SELECT id, chunk_seq FROM chunks WHERE id NOT IN (SELECT unnest(text_unit_ids) FROM nodes WHERE batch_id < 3)"
 
-# ---- walks: the seed is 42, alpha 3, 3 to 5 hops, 3 attempts, 300 candidates, 150 walks
+# ---- walks: the seed is 42, alpha 3, 3 to 5 hops, 4 attempts, 500 candidates a round, 500 walks
 _W = f"""{_G}, {_DEG},
 rare AS (SELECT name, degree, CASE WHEN degree > 0 AND frequency <= 2 THEN 1.0 / (frequency * degree) ELSE 0.0 END AS r FROM deg),
 weights AS (SELECT name, degree, CASE WHEN (SELECT sum(r) FROM rare) > 0 THEN r ELSE CAST(degree AS DOUBLE) END AS weight FROM rare)"""
 START_RARE = f"{_W} SELECT name, degree, CAST(weight AS DOUBLE) AS weight FROM weights"
+ELIGIBLE = f"{_W} SELECT count(*) AS nodes, count(*) FILTER (WHERE weight > 0) AS eligible FROM weights"
 START_DEGREE = f"{_W} SELECT name, CAST(degree AS DOUBLE) AS weight FROM weights"
 _S = f"""{_W},
 units AS (SELECT name, substr(md5(name), 1, 3) AS part, CAST(floor(weight * 4294967296) AS HUGEINT) AS units FROM weights WHERE floor(weight * 4294967296) > 0),
@@ -136,16 +143,17 @@ f{k} AS (SELECT f.cand, f.attempt, f.target, CASE WHEN w.b IS NULL THEN f.path E
          FROM f{k - 1} f LEFT JOIN w{k} w ON f.cand = w.cand AND f.attempt = w.attempt)"""
 
 
-WALK_HOP1 = f"""{_S.replace(":n:", "300")}, f0 AS (SELECT cand, 0 AS attempt, 3 AS target, [start] AS path, ['c0'] AS chunks, true AS live FROM starts), {_hop(1)}
+WALK_HOP1 = f"""{_S.replace(":n:", "500")}, f0 AS (SELECT cand, 0 AS attempt, 3 AS target, [start] AS path, ['c0'] AS chunks, true AS live FROM starts), {_hop(1)}
 SELECT cand, array_to_string(path, '>') AS path FROM f1"""
-_R = f"""{_S.replace(":n:", "300")},
+_RAW = f"""{_S},
 f0 AS (SELECT cand, attempt, 3 + CAST(floor({_u('42', 'cand', 'attempt', "'hops'")} * 3) AS INTEGER) AS target, [start] AS path, [text_unit_ids[1]] AS chunks, true AS live
-       FROM starts JOIN nodes ON name = start, (SELECT unnest(range(3)) AS attempt)),
+       FROM starts JOIN nodes ON name = start, (SELECT unnest(range(4)) AS attempt)),
 {_hop(1)}, {_hop(2)}, {_hop(3)}, {_hop(4)}, {_hop(5)},
-raw AS (SELECT cand, CAST(attempt AS INTEGER) AS attempt, path, chunks, len(path) - 1 >= 3 AND len(list_distinct(chunks)) >= 2 AS accepted FROM f5),
+raw AS (SELECT cand, CAST(attempt AS INTEGER) AS attempt, path, chunks, len(path) - 1 >= 3 AND len(list_distinct(chunks)) >= 2 AS accepted FROM f5)"""
+_R = f"""{_RAW.replace(":n:", "1500")},
 walks AS (SELECT cand, attempt, path, chunks, len(list_distinct(chunks)) AS crossed FROM raw WHERE accepted
-          QUALIFY row_number() OVER (PARTITION BY cand ORDER BY attempt) = 1 ORDER BY cand LIMIT 150)"""
-WALKS_RAW = f"{_R} SELECT cand, attempt, array_to_string(path, '>') AS path, accepted FROM raw"
+          QUALIFY row_number() OVER (PARTITION BY cand ORDER BY attempt) = 1 ORDER BY cand LIMIT 500)"""
+WALKS_RAW = f"{_RAW.replace(chr(58) + 'n:', '500')} SELECT cand, attempt, array_to_string(path, '>') AS path, accepted FROM raw"
 WALKS_ACCEPTED = f"{_R} SELECT cand, attempt, array_to_string(path, '>') AS path, array_to_string(chunks, '>') AS chunks FROM walks"
 WALK_SUMMARY = f"{_R} SELECT count(*) AS walks, avg(len(path) - 1) AS avg_hops, avg(crossed) AS avg_chunks FROM walks"
 PATH_TEXT = f"""{_R},
@@ -184,7 +192,7 @@ SELECT CASE WHEN forth THEN ul ELSE vl END AS src_label, 'MENTIONED_WITH' AS rel
   CASE WHEN forth THEN u ELSE v END AS source_name, CASE WHEN forth THEN v ELSE u END AS target_name, weight, {_J('text_unit_ids')} FROM both_ends"""
 PG_BATCHES = f"""{_G}, numbered AS (SELECT {_LABEL} AS label, row_number() OVER (PARTITION BY type ORDER BY node_ord) - 1 AS k FROM nodes)
 SELECT label, CAST(floor(k / 100) AS BIGINT) AS batch, count(*) AS n FROM numbered GROUP BY 1, 2"""
-PG_UPSERT = f"""{_B} SELECT {_LABEL} AS label, name, arg_max(frequency, batch_id) AS frequency FROM nodes WHERE batch_id < 2 GROUP BY 1, 2"""
+PG_UPSERT = f"""{_B} SELECT {_LABEL} AS label, name, arg_max(frequency, batch_id) AS frequency FROM nodes GROUP BY 1, 2"""
 
 _TURNS = """WITH turns AS (SELECT conv_id, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)"""
 MESSAGES = f"{_TURNS} SELECT conv_id, CAST(i AS INTEGER) AS i, role, md5(text) AS content_md5 FROM turns"

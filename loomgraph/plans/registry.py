@@ -12,6 +12,7 @@ from loomgraph.functions import labels, text
 from loomgraph.operators import chunking, extraction, graph, propgraph, qa, training, walks
 from loomgraph.plans import fixtures as fx
 from loomgraph.plans import oracles as sql
+from loomgraph.plans import pipeline
 from loomgraph.sources import completions, corpus
 from loomgraph.sources.scratch import Scratch
 from loomgraph.streaming import incremental
@@ -71,8 +72,8 @@ def blank_filter(spark, sf_dir):
     return docs.select("doc_id", spoiled.alias("text")).where(~text.is_blank(F.col("text"))).select("doc_id")
 
 
-@query(sql.FALLBACK)
-def text_key_fallback(spark, sf_dir):
+def _lines(spark, sf_dir):
+    """A JSONL line of each document, of eight kinds."""
     docs = fx.table(spark, sf_dir, "documents")
     kind, own = F.col("doc_id") % 8, F.concat(F.lit("t"), F.col("doc_id").cast("string"))
     put = lambda **k: F.to_json(F.struct(*[v.alias(n) for n, v in k.items()]))
@@ -86,8 +87,30 @@ def text_key_fallback(spark, sf_dir):
         .when(kind == 6, put(paragraph=F.lit(0), paragraph_text=own, id=F.lit("0")))
         .otherwise(F.lit("   "))
     )
-    lines = docs.select(F.lit(1).alias("file_seq"), F.col("doc_id").alias("line_no"), F.lit("f").alias("source"), line.alias("value"))
-    return corpus.json_records(lines).select("line_no", "text", "title", F.coalesce("base_id", F.lit("none")).alias("base_id"))
+    return docs.select(F.lit(1).alias("file_seq"), F.col("doc_id").alias("line_no"), F.lit("f").alias("source"), line.alias("value"))
+
+
+@query(sql.FALLBACK)
+def text_key_fallback(spark, sf_dir):
+    return corpus.json_records(_lines(spark, sf_dir)).select("line_no", "text", "title", F.coalesce("base_id", F.lit("none")).alias("base_id"))
+
+
+@query(sql.SKIPPED)
+def json_skips(spark, sf_dir):
+    return corpus.skipped(_lines(spark, sf_dir))
+
+
+@query(sql.FILES)
+def chunk_files(spark, sf_dir):
+    """Chunks written as files of rising and falling sizes, read back and batched."""
+    root, chunks = Scratch(spark, "files").path, fx.chunks(spark, sf_dir)
+    low, high = chunks.agg(F.min("chunk_seq"), F.max("chunk_seq")).first()
+    cuts = [low - 1, *[low + (high - low) * k // 100 for k in (1, 5, 45, 90, 97)], high]
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        part = chunks.where((F.col("chunk_seq") > a) & (F.col("chunk_seq") <= b)).orderBy("chunk_seq")
+        corpus.write_json(part.select("id", "text", "title", "source"), f"{root}/part{i}")
+    read = corpus.read_chunks(spark, f"{root}/*")
+    return pipeline.numbered(read, "chunk_seq", 40).select("id", "chunk_seq", "batch_id")
 
 
 @query(sql.HEAD)
@@ -149,6 +172,12 @@ def orphan_filter(spark, sf_dir):
 # ---- graph
 
 
+@query(sql.MIN_WEIGHT)
+def edge_min_weight(spark, sf_dir):
+    rows = extraction.merge_relations(fx.mentions(spark, sf_dir)[1])
+    return graph.collapse_edges(rows, min_weight=6.0).select("u", "v", "weight")
+
+
 @query(sql.NODES)
 def graph_nodes(spark, sf_dir):
     return fx.knowledge(spark, sf_dir)[0].select("name", "type", _joined("description"), _joined("text_unit_ids"), "frequency", _order("node_ord"))
@@ -203,6 +232,11 @@ def start_weights_rare(spark, sf_dir):
     return walks.start_weights(*fx.knowledge(spark, sf_dir), fx.walk_config()).select("name", "degree", "weight")
 
 
+@query(sql.ELIGIBLE)
+def start_eligible(spark, sf_dir):
+    return walks.eligible(walks.start_weights(*fx.knowledge(spark, sf_dir), fx.walk_config()))
+
+
 @query(sql.START_DEGREE)
 def start_weights_degree(spark, sf_dir):
     return walks.start_weights(*fx.knowledge(spark, sf_dir), walks.WalkConfig(rare_start=False)).select("name", "weight")
@@ -369,9 +403,13 @@ def export_batches(spark, sf_dir):
 
 @query(sql.PG_UPSERT)
 def propgraph_upsert(spark, sf_dir):
+    """The nodes of all batches, upserted one batch after the other."""
     nodes = fx.batches(spark, sf_dir)[0].select(labels.label_of(F.col("type")).alias("label"), "name", "frequency", "batch_id")
-    old, new = (nodes.where(F.col("batch_id") == b).drop("batch_id") for b in (0, 1))
-    return propgraph.upsert(old, new, ["label", "name"])
+    nodes = Scratch(spark, "upsert").table(nodes, "nodes")
+    done = None
+    for b in range(fx.BATCHES):
+        done = propgraph.upsert(done, nodes.where(F.col("batch_id") == b).drop("batch_id"), ["label", "name"])
+    return done
 
 
 # ---- training
@@ -410,50 +448,30 @@ def assistant_spans(spark, sf_dir):
     return rows.select("conv_id", "k", "s.start", "s.end")
 
 
-@query(None)
+@query(sql.STREAMED)
 def stream_incremental(spark, sf_dir):
-    """Chunk files taken in micro-batches into the mention log, and the graph of it."""
-    root = Scratch(spark, "stream").path
-    with fx.whole():
-        chunks = fx.chunks(spark, sf_dir)
-    chunks.repartition(4, "id").write.json(f"{root}/in")
-    incremental.run(spark, f"{root}/in", f"{root}/log", completions.rule)
+    """Chunk files that arrive in batches, taken by a stream into the mention log, and
+    the graph of it."""
+    root, chunks = Scratch(spark, "stream").path, fx.chunks(spark, sf_dir)
+    for b in range(fx.BATCHES):
+        chunks.where(F.pmod("chunk_seq", F.lit(fx.BATCHES)) == b).write.mode("append").json(f"{root}/in")
+        incremental.run(spark, f"{root}/in", f"{root}/log", completions.rule, files_per_batch=1_000_000)
     nodes, _ = incremental.tables(spark, f"{root}/log")
     return nodes.select("name", "frequency", F.size("text_unit_ids").alias("ids"))
 
 
-# ---- whole tables: the SQL of these has English documents only, so they have none
-
-WHOLE = (
-    "head_limit", "resume_offset", "parse_entities", "parse_relationships", "merge_entities", "merge_relationships", "orphan_filter",
-    "graph_nodes", "graph_edges", "graph_stats", "graph_merge_nodes", "graph_merge_edges", "node_degree", "covered_chunks", "pending_chunks",
-    "start_weights_rare", "start_weights_degree", "start_sample", "walk_hop1", "walks_raw", "walks_accepted", "walk_summary",
-    "path_text", "passages_text", "qa_parse", "qa_gates", "qa_inter", "qa_intra", "qa_yield",
-    "propgraph_nodes", "propgraph_rels", "export_batches",
-)
+# ---- the operator's own number of walks, retries and rounds: too slow as SQL
 
+FULL = ("walk_hop1", "walks_accepted", "walk_summary", "path_text", "qa_yield")
 
-def _over_all(f: Query) -> Query:
-    """The query over documents of every language."""
 
+def _with_full_walks(f: Query) -> Query:
     @functools.wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        with fx.whole():
+        with fx.full_walks():
             return f(spark, sf_dir)
 
     return run
 
 
-QUERIES |= {f"{name}_all": _over_all(QUERIES[name]) for name in WHOLE}
-
-
-@query(None)
-def propgraph_upsert_all(spark, sf_dir):
-    """All batches of every language, upserted one after the other."""
-    with fx.whole():
-        nodes = fx.batches(spark, sf_dir)[0].select(labels.label_of(F.col("type")).alias("label"), "name", "frequency", "batch_id")
-    nodes = Scratch(spark, "upsert").table(nodes, "nodes")
-    done = None
-    for b in range(fx.BATCHES):
-        done = propgraph.upsert(done, nodes.where(F.col("batch_id") == b).drop("batch_id"), ["label", "name"])
-    return done
+QUERIES |= {f"{name}_full": _with_full_walks(QUERIES[name]) for name in FULL}

@@ -3,7 +3,7 @@
 CHUNK = "id string, text string, title string, source string"
 ENTITY = "title string, type string, description array<string>, text_unit_ids array<string>, frequency long"
 RELATION = "source string, target string, description array<string>, text_unit_ids array<string>, weight double"
-NODE = "id string, type string, description array<string>, text_unit_ids array<string>, frequency long"
+NODE = "id string, type string, description array<string>, text_unit_ids array<string>, frequency variant"
 LINK = "source string, target string, weight double, description array<string>, text_unit_ids array<string>"
 GRAPH = f"directed boolean, multigraph boolean, nodes array<struct<{NODE.replace(' ', ':', 1).replace(', ', ',').replace(' ', ':')}>>, links array<struct<{LINK.replace(', ', ',').replace(' ', ':')}>>"
 STEP = "weight double, description array<string>, text_unit_ids array<string>"

@@ -1,22 +1,25 @@
 """Completion backends: what turns prompts into text.
 
-Each is a function DataFrame -> DataFrame that adds a column. `rule` needs no model;
-`replay` joins stored completions; `http` calls chat endpoints from the workers.
+Each is a function DataFrame -> DataFrame that adds columns. `rule` needs no model;
+`replay` joins stored completions; `http` calls chat endpoints from the workers;
+`remembered` stores what another backend answers and replays it.
 """
 
 from __future__ import annotations
 
 import json
 import urllib.request
+import zlib
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions.text import bound
 from loomgraph.operators.extraction import DONE, ENTITY_TYPES, FIELD, RECORD
+from loomgraph.sources.scratch import Scratch, exists
 
 Backend = Callable[[DataFrame], DataFrame]
 NAME = "[A-Z][a-z]{3,}"
@@ -24,13 +27,16 @@ NAME = "[A-Z][a-z]{3,}"
 
 def rule_text(text: Column, types: tuple[str, ...] = ENTITY_TYPES) -> Column:
     """Capitalised words as entities, neighbours as relationships, in the completion format."""
-    names = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NAME), F.lit(0))
     kinds = F.array(*[F.lit(t) for t in types])
     put = lambda *parts: F.concat(F.lit("("), F.concat_ws(FIELD, *parts), F.lit(")"))
-    ents = F.transform(names, lambda t, i: put(F.lit('"entity"'), t, F.element_at(kinds, ((F.length(t) + i) % len(types) + 1).cast("int")), F.concat_ws(" at ", t, i.cast("string"))))
-    pairs = F.transform(F.slice(names, 1, F.greatest(F.size(names) - 1, F.lit(0))), lambda t, i: F.struct(t.alias("a"), F.get(names, i + 1).alias("b")))
-    rels = F.transform(pairs, lambda p: put(F.lit('"relationship"'), p["a"], p["b"], F.concat_ws(" then ", p["a"], p["b"]), (F.length(p["a"]) % 10 + 1).cast("string")))
-    return F.concat(F.array_join(F.concat(ents, rels), f"\n{RECORD}\n"), F.lit(f"\n{RECORD}\n{DONE}"))
+
+    def said(names: Column) -> Column:
+        ents = F.transform(names, lambda t, i: put(F.lit('"entity"'), t, F.element_at(kinds, ((F.length(t) + i) % len(types) + 1).cast("int")), F.concat_ws(" at ", t, i.cast("string"))))
+        first = F.slice(names, 1, F.greatest(F.size(names) - 1, F.lit(0)))
+        rels = F.transform(first, lambda a, i: bound(F.get(names, i + 1), lambda b: put(F.lit('"relationship"'), a, b, F.concat_ws(" then ", a, b), (F.length(a) % 10 + 1).cast("string"))))
+        return F.concat(F.array_join(F.concat(ents, rels), f"\n{RECORD}\n"), F.lit(f"\n{RECORD}\n{DONE}"))
+
+    return bound(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NAME), F.lit(0)), said)
 
 
 def rule(chunks: DataFrame) -> DataFrame:
@@ -38,7 +44,16 @@ def rule(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.col("id").alias("chunk_id"), "chunk_seq", rule_text(F.col("text")).alias("result"))
 
 
+#: A conversation so far, as a column.
+MESSAGES = "array<struct<role:string,content:string>>"
+
+
+def message(role: str, content: Column) -> Column:
+    return F.array(F.struct(F.lit(role).alias("role"), content.alias("content")))
+
+
 def prompt_key(messages: Column, model: Column) -> Column:
+    """What a call is known by: the model with its settings, and all messages."""
     return F.md5(F.concat_ws("\n", model, F.to_json(messages)).cast("binary"))
 
 
@@ -47,31 +62,69 @@ def replay(stored: DataFrame, key: str, out: str = "completion") -> Backend:
     return lambda rows: rows.join(stored.select(key, F.col("text").alias(out)), key, "left")
 
 
-def http(prompt: str, urls: list[str], model: str, api_key: str = "EMPTY", out: str = "completion", max_tokens: int = 4096, temperature: float = 0.0, concurrency: int = 8, timeout: float = 600.0) -> Backend:
-    """Calls chat endpoints, `concurrency` at a time in each task; rows take turns at
-    the urls. A failed call gives null and its error. Spark may run a task again, so
-    calls are at least once: write the result before using it."""
+STORED = "key string, text string"
+
+
+def remembered(call: Backend, path: str, settings: str) -> Backend:
+    """A backend on messages that asks `call` only what the table at `path` does not
+    know yet, and adds the answers to it before they are used: a run that was cut off,
+    or had failed calls, makes only the calls that are left. Equal prompts are asked once.
+    """
+
+    def backend(rows: DataFrame) -> DataFrame:
+        spark = rows.sparkSession
+        keyed = rows.withColumn("key", prompt_key(F.col("messages"), F.lit(settings)))
+        known = table_or_none(spark, path, STORED)
+        todo = keyed.select("key", "messages").dropDuplicates(["key"]).join(known.select("key"), "key", "left_anti")
+        said = Scratch(spark, "calls").table(call(todo).select("key", F.col("completion").alias("text"), "error"), "said")
+        said.where("error is null").select("key", "text").write.mode("append").parquet(path)
+        both = known.withColumn("error", F.lit(None).cast("string")).unionByName(said)
+        answers = both.select("key", F.col("text").alias("completion"), "error")
+        return keyed.join(answers, "key", "left").drop("key")
+
+    return backend
+
+
+def table_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet table, or no rows where there is none yet."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
-    def ask(number: int, text: str) -> tuple[str | None, str | None]:
-        body = {"model": model, "messages": [{"role": "user", "content": text}], "max_tokens": max_tokens, "temperature": temperature}
-        request = urllib.request.Request(urls[number % len(urls)].rstrip("/") + "/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {api_key}"})
+
+def http(urls: list[str], model: str, api_key: str = "EMPTY", max_tokens: int = 4096, temperature: float = 0.0, concurrency: int = 8, timeout: float = 600.0, tasks: int | None = None) -> Backend:
+    """Calls chat endpoints with each row's messages and adds completion and error.
+
+    `concurrency` calls run at once over all: rows are dealt to `tasks` tasks (as many
+    as there are cores, at most one for each call at once), each with its share. A
+    conversation's first message says which of the urls it goes to, so its turns go to
+    one. A failed call gives null and its error. Spark may run a task again, so calls
+    are at least once: write the result before using it (`remembered` does).
+    """
+
+    def ask(messages: list[dict]) -> tuple[str | None, str | None]:
+        body = {"model": model, "messages": messages, "max_tokens": max_tokens, "temperature": temperature}
+        url = urls[zlib.crc32((messages[0]["content"] or "").encode()) % len(urls)] if messages else urls[0]
+        request = urllib.request.Request(url.rstrip("/") + "/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {api_key}"})
         try:
             with urllib.request.urlopen(request, timeout=timeout) as reply:
                 return json.load(reply)["choices"][0]["message"]["content"] or "", None
         except Exception as e:  # noqa: BLE001  a failed call loses its item only
             return None, repr(e)[:500]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with ThreadPoolExecutor(concurrency) as pool:
-            for batch in batches:
-                for start in range(0, batch.num_rows, 16 * concurrency):
-                    part = batch.slice(start, 16 * concurrency)
-                    found = list(pool.map(ask, range(start, start + part.num_rows), part.column(prompt).to_pylist()))
-                    columns = [pa.array([f[i] for f in islice(found, None)], pa.string()) for i in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, out, "error"])
+    def calling(share: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            with ThreadPoolExecutor(share) as pool:
+                for batch in batches:
+                    for start in range(0, batch.num_rows, 16 * share):
+                        part = batch.slice(start, 16 * share)
+                        found = list(pool.map(ask, part.column("messages").to_pylist()))
+                        columns = [pa.array([f[i] for f in found], pa.string()) for i in (0, 1)]
+                        yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, "completion", "error"])
+
+        return run
 
     def backend(rows: DataFrame) -> DataFrame:
+        n = tasks or max(1, min(rows.sparkSession.sparkContext.defaultParallelism, concurrency))
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-        return rows.mapInArrow(run, f"{fields}, {out} string, error string")
+        return rows.repartition(n).mapInArrow(calling(max(1, -(-concurrency // n))), f"{fields}, completion string, error string")
 
     return backend

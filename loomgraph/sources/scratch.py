@@ -12,9 +12,12 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where the session has none, a local folder."""
+    """spark.checkpoint.dir; a folder of this machine only where the session has none
+    and runs on this machine alone, as in tests."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -26,6 +29,37 @@ def drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def replace_by(spark: SparkSession, path: str, fresh: str, part: bool = False) -> None:
+    """What is at `fresh` (or, with part, its only part file) takes the place of what is
+    at `path`. The old one is moved aside and deleted last, so one of them is whole
+    at any time."""
+    new = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+    fs = new(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    source = fs.globStatus(new(f"{fresh}/part-*"))[0].getPath() if part else new(fresh)
+    old = f"{path.rstrip('/')}.old"
+    if fs.exists(new(path)):
+        fs.delete(new(old), True)
+        fs.rename(new(path), new(old))
+    if not fs.rename(source, new(path)):
+        raise OSError(f"{path} could not be written; what was there before is at {old}")
+    fs.delete(new(old), True)
+    if part:
+        fs.delete(new(fresh), True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, through Spark's own file system layer."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 class Scratch:
     """Tables that cut lineage: a lost executor costs only the tasks it ran."""
 

@@ -27,9 +27,3 @@ def test_query(spark, duck, name):
     got, want = registry.QUERIES[name](spark, SF).toPandas(), duck.sql(registry.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert normal(got) == normal(want)
-
-
-def test_stream(spark):
-    nodes = registry.QUERIES["stream_incremental"](spark, SF).toPandas()
-    assert len(nodes) == nodes["name"].nunique() > 0
-    assert (nodes["frequency"] == nodes["ids"]).mean() > 0.3
