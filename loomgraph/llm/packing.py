@@ -8,8 +8,10 @@ array over the levels, so a placement is one vector expression.
 
 When the partition ends, the windows still open are drained: the fullest are
 filled with pieces cut from the emptiest, and the last is cut at powers of two,
-at which a sequence needs no padding. The same happens should more than `OPEN`
-windows be open, so memory stays bounded. A task that is run again packs the same
+at which a sequence needs no padding. A task holds at most `most` open windows (a
+parameter): one more, and all are drained in the same way, but that the last stays
+open. This bounds a task's memory at `most` windows of ids; a smaller number means
+more cut documents, never more padding. A task that is run again packs the same
 rows in the same way; sequence numbers start from the partition's.
 """
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import giving_back
 from loomgraph.llm.tokenizing import default_path, encoder, text_blocks
 
-WINDOW, END, OPEN = 1024, 0, 4096
+WINDOW, END, MOST = 1024, 0, 4096
 #: Characters whose ids are worked out at once; a longer text is alone.
 BLOCK = 500_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -36,7 +38,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Packer:
     """Windows of one partition. A piece is (document, start, ids, document's tokens)."""
 
-    def __init__(self, window: int = WINDOW, first: int = 0, most: int = OPEN):
+    def __init__(self, window: int = WINDOW, first: int = 0, most: int = MOST):
         self.window, self.next, self.most = window, first, most
         self.number = np.zeros(window + 1, np.int64)  # of open windows by level
         self.open: list[list[list]] = [[] for _ in range(window)]
@@ -96,20 +98,14 @@ class Packer:
             fill, pieces = left[i]
             give, given = left[j]
             take = min(self.window - fill, give)
-            moved = []
-            for doc, start, ids, total in reversed(given[:]):
-                given.pop()
-                want = take - sum(len(m[2]) for m in moved)
-                if len(ids) <= want:
-                    moved.append((doc, start, ids, total))
-                else:
-                    cut = len(ids) - want
+            want = take
+            while want:
+                doc, start, ids, total = given.pop()
+                cut = max(0, len(ids) - want)
+                if cut:
                     given.append((doc, start, ids[:cut], total))
-                    if want:
-                        moved.append((doc, start + cut, ids[cut:], total))
-                if sum(len(m[2]) for m in moved) == take:
-                    break
-            pieces += moved
+                pieces.append((doc, start + cut, ids[cut:], total))
+                want -= len(ids) - cut
             left[i], left[j] = (fill + take, pieces), (give - take, given)
             if fill + take == self.window:
                 self.close(pieces)
@@ -142,10 +138,10 @@ class Packer:
             self.close(own)
 
 
-def _packing(path: str, window: int):
+def _packing(path: str, window: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        packer = Packer(window, TaskContext.get().partitionId() << 36)
+        packer = Packer(window, TaskContext.get().partitionId() << 36, most)
 
         def out() -> pa.RecordBatch:
             columns = list(zip(*packer.rows, strict=True)) or [[]] * 7
@@ -165,14 +161,17 @@ def _packing(path: str, window: int):
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, most: int = MOST) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset.
 
-    A document's ids are those of the tokenizer file and then id 0, so a null or
-    empty text is one token. Each id lies in one piece; pieces of a sequence follow
-    one another from offset 0. Repeated rows are packed each on its own; extra
-    columns are ignored; no rows in, no rows out.
+    A document's ids are those the library gives for its text and then id 0, so a null
+    or empty text is one token, and <|endoftext|> in a text is its special id. Each id
+    lies in one piece; pieces of a sequence follow one another from offset 0. A very
+    long text is encoded by itself and gives whole windows first. Of levels that cost
+    the same the fullest is filled. Repeated rows are packed each on its own; a null
+    doc_id stays null; extra columns are ignored; no rows in, no rows out. Which rows
+    share a sequence depends on the partitioning.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(giving_back(_packing(path or default_path(), window)), SCHEMA)
+    return rows.mapInArrow(giving_back(_packing(path or default_path(), window, most)), SCHEMA)

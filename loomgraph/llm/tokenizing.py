@@ -49,12 +49,16 @@ class Encoder:
     #: Pieces remembered; beyond, the memory is emptied and fills anew.
     REMEMBER = 1_500_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = False):
+        """literal: names of special tokens in a text are text like any other; else they
+        get the special ids, as the library does by itself."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = literal
+        #: Texts that hold one of these go to the library whole.
+        self.apart = [t.content for t in self.library.get_added_tokens_decoder().values() if not (literal and t.special)]
         self.forget()
 
     def forget(self) -> None:
@@ -81,11 +85,14 @@ class Encoder:
         n = int(bounds[-1])
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64), []
-        code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        whole = "".join(texts)
+        code = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         kind = _classes()[code]
         odd = []
         if (kind == 4).any():
             odd = np.unique(np.searchsorted(bounds, np.flatnonzero(kind == 4), "right") - 1).tolist()
+        if any(t in whole for t in self.apart):
+            odd = sorted({*odd, *[i for i, text in enumerate(texts) if any(t in text for t in self.apart)]})
         first = np.zeros(n + 1, bool)
         first[bounds] = True
         change = np.empty(n, bool)
@@ -170,9 +177,9 @@ class Encoder:
 
 
 @lru_cache(2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, literal: bool = False) -> Encoder:
     """The encoder of this worker process, kept from task to task."""
-    return Encoder(path)
+    return Encoder(path, literal)
 
 
 def text_blocks(texts: list[str], size: int = 2_000_000):

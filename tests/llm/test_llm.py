@@ -204,8 +204,8 @@ def test_lm(spark, odd, nothing, monkeypatch):
 def test_packing(spark, odd, nothing):
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(default_path())
-    own.encode_special_tokens = True
+    own, literal = (Tokenizer.from_file(default_path()) for _ in range(2))
+    literal.encode_special_tokens = True
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd.where("doc_id <> 10").select((F.col("doc_id") + 10_000).alias("doc_id"), "text"))
     ids = {r.doc_id: np.array([*own.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4") for r in docs.collect()}
     pieces = collections.defaultdict(list)
@@ -226,7 +226,8 @@ def test_packing(spark, odd, nothing):
     unnamed = packing.pack(odd).where("doc_id is null").collect()
     assert sum(r.length for r in unnamed) == unnamed[0].doc_tokens and packing.pack(nothing).collect() == []
     counts = {r.doc_id: r.n_tokens for r in token_counts.document_counts(docs).collect()}
-    assert counts == {d: len(x) - 1 for d, x in ids.items()}
+    assert counts == {r.doc_id: len(literal.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()}
+    assert 50256 in ids[10_014] and counts[10_014] > len(ids[10_014]) - 1
     assert token_counts.document_counts(nothing).collect() == []
 
 
@@ -248,8 +249,9 @@ def test_sum_of_squares():
         packer.place((i, 0, np.arange(size, dtype=np.uint32), size))
 
 
-def test_flat_files(spark, tmp_path):
-    """Separators at borders of blocks, beside one another, and none at the end."""
+def test_flat_files(spark, tmp_path, monkeypatch):
+    """Separators at borders of blocks and of runs, beside one another, none at the end."""
+    monkeypatch.setattr(token_counts, "RUN", 2)
     for name, ids in (("a", [5, 0, 0, 7, 8, 9, 0, 1, 2]), ("b", [0]), ("c", [3, 0] * 9), ("d", [4] * 11)):
         (tmp_path / name).write_bytes(np.array(ids, "<u2").tobytes())
     for size in (1, 2, 3, 100):
