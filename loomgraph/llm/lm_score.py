@@ -1,22 +1,32 @@
-"""Language-model scores by a weighted backoff automaton.
-
-The model. Words seen in training are states, and so is the start of a text; below
-them is the root. A state h has an arc for every word w that followed it, with
-weight log10((c(hw) - D) / c(h) + D n(h) / c(h) p(w)), n(h) being how many
-different words did; any other word takes the failure arc to the root, weight
-log10(D n(h) / c(h)), and the root's arc, log10 p(w), p(w) = (c(w) + 0.5) / (N +
-0.5 (V + 1)). This is interpolated absolute discounting, so a state's
-probabilities and that of an unknown word sum to 1. A word of count 0 is no state:
-after it the automaton is at the root.
-
-Training and traversal in blocks. The counts grow with the corpus, so they never
-sit in one place. Texts become blocks of local word numbers, written once. Each
-block sends its different bigrams, with its own training counts, to shards dealt
-by hash; a shard sums them and answers every block with the totals. Single words
-do the same. A block then holds just the part of the automaton that its own texts
-walk, and traverses it once from left to right. As the state after a word is that
-word's, the walk of all its texts is one gather over positions. Shards and blocks
-hold bounded numbers of entries; there are more of both for more input.
+"""Language-model scores by a weighted backoff automaton of order three.
+
+The model. States are the root, every word that training has something after, the
+start of a text, and every pair of neighbouring words of training (a text's start
+counts as a word before it). A pair state (u, v) has an arc for each word w that
+followed it, with log10 p(w | u v); a word state v likewise with log10 p(w | v);
+the root has one for every word, known or not, with log10 p(w):
+
+    p(w | u v) = (c(u v w) + K3 p(w | v)) / (c(u v) + K3)
+    p(w | v)   = (c(v w) + K2 p(w)) / (c(v) + K2)
+    p(w)       = (c(w) + 0.5) / (N + 0.5 (V + 1))
+
+Where a state has no arc for a word, its failure arc leads to the state of one word
+less, weight log10(K / (c + K)), which reads the word instead. So the probabilities
+after a state, that of an unknown word included, sum to 1. An arc leads to the pair
+state of its last two words if training has the pair, else to that of the word, else
+to the root.
+
+Traversal. All texts of a block are read from left to right at once, a word of each
+at a step: every text carries its state and adds up the weights of the arcs it takes,
+failure arcs included. Long texts are read in segments; the state that a segment
+begins in is where its two words before lead, since no state remembers more.
+
+Counting. The counts grow with the corpus, so they never sit in one place. Texts
+become blocks of local word numbers, written once. Each block sends its different
+words, pairs and triples, with its own training counts, to shards of hash ranges; a
+shard sums them and answers each block with the totals, and the block builds the part
+of the automaton that its own texts can reach. A block sends no empty message, so the
+messages are never more than its entries, however many shards there are.
 """
 
 from __future__ import annotations
@@ -30,11 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import vectext
-from loomgraph.llm.common import Scratch
+from loomgraph.llm.common import Scratch, giving_back
 
-DISCOUNT = 0.75
-BLOCK_TOKENS, SHARD_ENTRIES = 700_000, 2_000_000
+#: What the model of one word less counts for, in words seen: after a word, after a pair
+#: (chosen by held-out texts).
+K2, K3 = 1000.0, 5.0
+BLOCK_TOKENS, SHARD_ENTRIES, SEGMENT = 400_000, 2_000_000, 256
 START, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
+#: The two lowest bits of an entry's hash: how many words it has; 0 is the start.
+_KIND = np.uint64(3)
 
 
 def held(x: np.ndarray) -> bytes:
@@ -52,10 +66,46 @@ def unheld(b: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
 
 
+class Grams:
+    """The different words, pairs and triples of a block of texts.
+
+    toks: each position's word (a place in vocab); ends: of the texts in toks; vocab:
+    hashes of the words, then that of the start. A pair is (word before, word), the
+    start before a text's first; a triple is (pair before, word)."""
+
+    def __init__(self, vocab: np.ndarray, toks: np.ndarray, ends: np.ndarray):
+        self.vocab, self.toks, self.ends = vocab, toks, ends
+        self.begins = np.concatenate([[0], ends[:-1]])
+        n = len(vocab)
+        before = np.empty(len(toks), np.int64)
+        before[1:] = toks[:-1]
+        before[self.begins] = n - 1
+        self.pairs, self.pair_at = np.unique(before * n + toks, return_inverse=True)
+        self.inner = np.ones(len(toks), bool)
+        self.inner[self.begins] = False
+        at = np.flatnonzero(self.inner)
+        self.triples, self.triple_at = np.unique(self.pair_at[at - 1] * n + toks[at], return_inverse=True)
+
+    def hashes(self) -> np.ndarray:
+        """Of all entries: words and the start, pairs, triples."""
+        v, n = self.vocab, len(self.vocab)
+        a, b = self.pairs // n, self.pairs % n
+        u, w = self.triples // n, self.triples % n
+        out = [vectext.mix64(v), vectext.combine([v[a], v[b]]), vectext.combine([v[a[u]], v[b[u]], v[w]])]
+        kinds = [np.append(np.ones(n - 1, np.uint64), np.uint64(0)), np.full(len(a), 2, np.uint64), np.full(len(u), 3, np.uint64)]
+        return np.concatenate([(h & ~_KIND) | k for h, k in zip(out, kinds, strict=True)])
+
+    def counts(self, train: np.ndarray) -> np.ndarray:
+        """Of all entries, in the training texts."""
+        seen = np.repeat(train, np.diff(self.ends, prepend=0))
+        words = np.bincount(self.toks[seen], minlength=len(self.vocab))
+        words[-1] = train.sum()
+        return np.concatenate([words, np.bincount(self.pair_at[seen], minlength=len(self.pairs)), np.bincount(self.triple_at[seen[self.inner]], minlength=len(self.triples))])
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as blocks: vocab (hashes, the most frequent first, and the start),
-    counts (of them in training texts), toks (places in vocab, each text's end
-    included), ends (of the texts in toks)."""
+    """Texts as blocks: vocab (hashes, the most frequent first, and the start), toks
+    (places in vocab, each text's end included), ends (of the texts in toks)."""
     task, made = TaskContext.get().partitionId(), 0
     ids: list = []
     trains: list[bool] = []
@@ -71,15 +121,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(-np.bincount(toks), kind="stable")
         place = np.empty(len(vocab), np.int64)
         place[order] = np.arange(len(vocab))
-        toks = place[toks]
-        counts = np.bincount(toks[np.repeat(train, size + 1)], minlength=len(vocab) + 1)
-        counts[-1] = train.sum()
-        keys = _keys(toks, ends, len(vocab))
-        row = [pa.array([task << 32 | made]), pa.array([ids], pa.list_(pa.int64())), pa.array([held(train.view(np.uint8))], pa.binary()), pa.array([held(ends)], pa.binary())]
-        row += [pa.array([held(np.append(vocab[order], START))], pa.binary()), pa.array([held(counts)], pa.binary()), pa.array([held(toks.astype(np.uint32))], pa.binary())]
-        row += [pa.array([len(vocab) + 1]), pa.array([len(np.unique(keys))])]
+        toks, vocab = place[toks], np.append(vocab[order], START)
+        entries = len(vocab) + int(2 * len(toks))
+        row = [pa.array([task << 32 | made]), pa.array([ids], pa.list_(pa.int64())), *[pa.array([held(x)], pa.binary()) for x in (train.view(np.uint8), ends, vocab, toks.astype(np.uint32))], pa.array([entries])]
         ids, trains, words, sizes, n, made = [], [], [], [], 0, made + 1
-        return pa.RecordBatch.from_arrays(row, ["block", "doc_ids", "train", "ends", "vocab", "counts", "toks", "n_words", "n_pairs"])
+        return pa.RecordBatch.from_arrays(row, ["block", "doc_ids", "train", "ends", "vocab", "toks", "entries"])
 
     for batch in batches:
         data, offsets = vectext.packed(batch.column("text"))
@@ -97,190 +143,164 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _keys(toks: np.ndarray, ends: np.ndarray, vocab: int) -> np.ndarray:
-    """(state before, word) of every position as one number."""
-    before = np.empty(len(toks), np.int64)
-    before[1:] = toks[:-1]
-    before[np.concatenate([[0], ends[:-1]])] = vocab
-    return before * (vocab + 1) + toks
-
-
 def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     for batch in batches:
         yield from zip(*(batch.column(c).to_pylist() for c in names), strict=True)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[int, list[tuple]]]:
+def _groups(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[tuple]]:
     """Rows that follow one another with the same first column."""
     group: list[tuple] = []
     for row in _rows(batches, *names):
         if group and group[0][0] != row[0]:
-            yield group[0][0], group
+            yield group
             group = []
         group.append(row)
     if group:
-        yield group[0][0], group
-
-
-ASK = "shard int, block long, hashes binary, counts binary, owners binary"
-
-
-def _ask(block: int, hashes: np.ndarray, shards: int, *columns: np.ndarray) -> pa.RecordBatch:
-    """A block's entries dealt to shards; the 48 bits that go are enough among the
-    entries of one shard."""
-    shard = ((hashes >> np.uint64(48)) * np.uint64(shards) >> np.uint64(16)).astype(np.int64)
-    rows: list[list] = [[] for _ in range(3)]
-    for s in range(shards):
-        at = np.flatnonzero(shard == s)
-        low = (hashes[at] & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6]
-        rows[0].append(low.tobytes())
-        for r, c in zip(rows[1:], columns, strict=True):
-            r.append(held(c[at]))
-    n = len(rows[0])
-    return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([block] * n, pa.int64()), *[pa.array(r, pa.binary()) for r in rows]], ASK.replace(",", "").split()[::2])
-
-
-def _order(hashes: np.ndarray, shards: int) -> np.ndarray:
-    """Where the answers of shard after shard belong."""
-    return np.argsort((hashes >> np.uint64(48)) * np.uint64(shards) >> np.uint64(16), kind="stable")
-
+        yield group
 
-def _pair_hashes(keys: np.ndarray, vocab: np.ndarray) -> np.ndarray:
-    return vectext.combine([vocab[keys // len(vocab)], vocab[keys % len(vocab)]])
 
+def _block(row: tuple) -> tuple[Grams, np.ndarray]:
+    """The grams of a block's row (train, ends, vocab, toks), and its training texts."""
+    train, ends, vocab, toks = row
+    return Grams(unheld(vocab, "u8"), unheld(toks, "u4").astype(np.int64), unheld(ends, "i8")), unheld(train, "u1").astype(bool)
 
-def _ask_pairs(shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, train, ends, vocab, toks in _rows(batches, "block", "train", "ends", "vocab", "toks"):
-            vocab, toks, ends, train = unheld(vocab, "u8"), unheld(toks, "u4").astype(np.int64), unheld(ends, "i8"), unheld(train, "u1").astype(bool)
-            keys = _keys(toks, ends, len(vocab) - 1)
-            distinct = np.unique(keys)
-            known, often = np.unique(keys[np.repeat(train, np.diff(ends, prepend=0))], return_counts=True)
-            counts = np.zeros(len(distinct), np.uint32)
-            counts[np.searchsorted(distinct, known)] = often
-            yield _ask(block, _pair_hashes(distinct, vocab), shards, counts, (distinct // len(vocab)).astype(np.uint32))
-
-    return run
-
-
-def _hash48(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).reshape(-1)
-
-
-def _sum(group: list[tuple], *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of a shard's entries: an order by hash, each entry's group in it, and the
-    sums of the columns over the groups."""
-    hashes = np.concatenate([_hash48(r[2]) for r in group])
-    order = np.argsort(hashes, kind="stable")
-    ordered = hashes[order]
-    new = np.ones(len(ordered), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    which = np.cumsum(new) - 1
-    starts = np.flatnonzero(new)
-    return order, which, [np.add.reduceat(c[order].astype(np.int64), starts) if len(starts) else c.astype(np.int64) for c in columns]
-
-
-def _narrow(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x.astype(np.uint64)
-
-
-def _answer_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Totals of a shard's bigrams for each block that asked, and of each state how
-    many bigrams that training has are counted by this block: the first of those
-    with one in a training text."""
-    for shard, group in _groups(batches, "shard", "block", "hashes", "counts", "owners"):
-        counts = np.concatenate([unheld(r[3], "u4") for r in group])
-        states = np.concatenate([unheld(r[4], "u4") for r in group])
-        order, which, (total,) = _sum(group, counts)
-        answer = np.empty(len(counts), np.int64)
-        answer[order] = total[which]
-        seen = counts[order] > 0
-        _, first = np.unique(which[seen], return_index=True)
-        own = np.zeros(len(counts), bool)
-        own[order[np.flatnonzero(seen)[first]]] = True
-        at = 0
-        for row in group:
-            n = len(row[2]) // 6
-            state, kinds = np.unique(states[at : at + n][own[at : at + n]], return_counts=True)
-            yield _answer(row[1], shard, _narrow(answer[at : at + n]), state.astype(np.uint32), kinds.astype(np.uint32))
-            at += n
 
+ASK = "shard int, block long, hashes binary, counts binary"
 
-ANSWER = "block long, shard int, width int, totals binary, states binary, kinds binary"
 
+def _asking(shards: int):
+    """A block's entries in order of hash, cut where the shards' ranges of it begin."""
 
-def _answer(block: int, shard: int, *columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([shard], pa.int32()), pa.array([columns[0].itemsize], pa.int32()), *[pa.array([held(c)], pa.binary()) for c in columns]], ANSWER.replace(",", "").split()[::2])
-
-
-def _ask_words(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, group in _groups(batches, "block", "shard", "vocab", "counts", "states", "kinds"):
-            vocab, counts = unheld(group[0][2], "u8"), unheld(group[0][3], "i8")
-            kinds = np.zeros(len(vocab), np.int64)
-            for row in group[1:]:
-                kinds[unheld(row[4], "u4")] += unheld(row[5], "u4")
-            yield _ask(block, _spread(vocab), shards, counts, kinds)
+        for block, *row in _rows(batches, "block", "train", "ends", "vocab", "toks"):
+            grams, train = _block(tuple(row))
+            hashes, counts = grams.hashes(), grams.counts(train).astype(np.uint32)
+            order = np.argsort(hashes)
+            hashes, counts = hashes[order], counts[order]
+            shard = ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+            starts = np.flatnonzero(np.diff(shard, prepend=-1))
+            ends = np.append(starts[1:], len(shard))
+            parts = [(held(np.diff(hashes[a:b], prepend=np.uint64(0))), held(counts[a:b])) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            columns = [pa.array(shard[starts], pa.int32()), pa.array([block] * len(starts), pa.int64()), *[pa.array(c, pa.binary()) for c in zip(*parts, strict=True)]]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "block", "hashes", "counts"])
 
     return run
 
 
-def _spread(vocab: np.ndarray) -> np.ndarray:
-    return vectext.mix64(vocab)
-
-
-def _answer_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Totals of a shard's words for each block; and, as block -1, the shard's
-    training tokens and different words."""
-    start = int(_spread(np.array([START]))[0]) & ((1 << 48) - 1)
-    for shard, group in _groups(batches, "shard", "block", "hashes", "counts", "owners"):
-        counts = np.concatenate([unheld(r[3], "i8") for r in group])
-        kinds = np.concatenate([unheld(r[4], "i8") for r in group])
-        order, which, (total, variety) = _sum(group, counts, kinds)
-        if not len(order):
-            continue
-        hashes = np.concatenate([_hash48(r[2]) for r in group])[order]
-        real = hashes[np.flatnonzero(np.diff(which, prepend=-1))] != start
-        yield _answer(-1, shard, np.array([total[real].sum(), (total[real] > 0).sum()], np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32))
-        answer, kind = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        answer[order], kind[order] = total[which], variety[which]
+ANSWER = "block long, shard int, width int, totals binary"
+
+
+def _answering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The totals of a shard's entries for each block that asked; and, as block -1, the
+    training tokens and the different training words of the shard's range."""
+    for group in _groups(batches, "shard", "block", "hashes", "counts"):
+        shard, parts = group[0][0], [np.cumsum(unheld(r[2], "u8"), dtype=np.uint64) for r in group]
+        hashes, counts = np.concatenate(parts), np.concatenate([unheld(r[3], "u4") for r in group])
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        starts = np.flatnonzero(new)
+        total = np.add.reduceat(counts[order].astype(np.uint64), starts)
+        words = total[(hashes[starts] & _KIND) == 1]
+        yield _answer(-1, shard, np.array([words.sum(), (words > 0).sum()], np.uint64))
+        answer = np.empty(len(order), np.uint64)
+        answer[order] = total[np.cumsum(new) - 1]
+        del hashes, counts, order, new
         at = 0
-        for row in group:
-            n = len(row[2]) // 6
-            yield _answer(row[1], shard, answer[at : at + n].astype(np.uint64), np.zeros(0, np.uint32), kind[at : at + n].astype(np.uint64))
-            at += n
-
-
-def _scoring(pair_shards: int, word_shards: int, tokens: int, types: int, discount: float):
+        for row, part in zip(group, parts, strict=True):
+            yield _answer(row[1], shard, answer[at : at + len(part)])
+            at += len(part)
+
+
+def _answer(block: int, shard: int, totals: np.ndarray) -> pa.RecordBatch:
+    least = np.min_scalar_type(totals.max()) if len(totals) else np.dtype(np.uint8)
+    totals = totals.astype(least)
+    return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([shard], pa.int32()), pa.array([totals.itemsize], pa.int32()), pa.array([held(totals)], pa.binary())], ["block", "shard", "width", "totals"])
+
+
+class Automaton:
+    """The part of the automaton that a block's texts can reach.
+
+    States: 0 is the root, 1 + w the word w (the start is the last), then the pairs.
+    Arcs of all other states are in one sorted table of (state, word)."""
+
+    def __init__(self, grams: Grams, total: np.ndarray, tokens: int, types: int):
+        n, p = len(grams.vocab), len(grams.pairs)
+        one, two, three = total[:n], total[n : n + p], total[n + p :]
+        a, b = grams.pairs // n, grams.pairs % n
+        u, w = grams.triples // n, grams.triples % n
+        root = (one + 0.5) / (tokens + 0.5 * (types + 1))
+        after_word = (two + K2 * root[b]) / (one[a] + K2)
+        # the pair that a triple ends in
+        last = np.searchsorted(grams.pairs, b[u] * n + w)
+        after_pair = (three + K3 * after_word[last]) / (two[u] + K3)
+        self.words, self.root = n, np.log10(root)
+        self.root_to = np.where(one > 0, 1 + np.arange(n), 0)
+        pair_state = np.where(two > 0, 1 + n + np.arange(p), self.root_to[b])
+        has2, has3 = two > 0, three > 0
+        keys = np.concatenate([(1 + a[has2]) * n + b[has2], (1 + n + u[has3]) * n + w[has3]])
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.weight = np.log10(np.concatenate([after_word[has2], after_pair[has3]]))[order]
+        self.to = np.concatenate([pair_state[has2], pair_state[last[has3]]])[order]
+        self.fail = np.log10(np.concatenate([[1.0], K2 / (one + K2), K3 / (two + K3)]))
+        self.fail_to = np.concatenate([np.zeros(1 + n, np.int64), 1 + b])
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each state goes on its word, and the weight of the arcs it takes."""
+        gain, state, to = np.zeros(len(state)), state.copy(), np.empty(len(state), np.int64)
+        todo = np.arange(len(state))
+        while len(todo):
+            here, w = state[todo], word[todo]
+            at = np.minimum(np.searchsorted(self.keys, here * self.words + w), max(len(self.keys) - 1, 0))
+            arc = (here > 0) & (self.keys[at] == here * self.words + w) if len(self.keys) else np.zeros(len(todo), bool)
+            top = here == 0
+            if arc.any():
+                gain[todo[arc]] += self.weight[at[arc]]
+                to[todo[arc]] = self.to[at[arc]]
+            gain[todo[top]] += self.root[w[top]]
+            to[todo[top]] = self.root_to[w[top]]
+            left = ~(arc | top)
+            todo, here = todo[left], here[left]
+            gain[todo] += self.fail[here]
+            state[todo] = self.fail_to[here]
+        return to, gain
+
+    def walk(self, grams: Grams) -> np.ndarray:
+        """Each text's sum of weights."""
+        sizes = grams.ends - grams.begins
+        cuts = -(-sizes // SEGMENT)
+        text = np.repeat(np.arange(len(sizes)), cuts)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        warm = np.where(number > 0, 2, 0)  # words read only to find the state
+        first = grams.begins[text] + number * SEGMENT - warm
+        length = np.minimum(SEGMENT, sizes[text] - number * SEGMENT) + warm
+        order = np.argsort(-length, kind="stable")
+        text, first, length, warm = text[order], first[order], length[order], warm[order]
+        # a text begins at the start's state, a segment's two words are read from the root
+        state = np.where(warm > 0, 0, len(grams.vocab) if self.root_to[-1] else 0)
+        score = np.zeros(len(text))
+        for t in range(int(length[0]) if len(length) else 0):
+            live = int(np.searchsorted(-length, -t, "left"))
+            state[:live], gain = self.step(state[:live], grams.toks[first[:live] + t])
+            score[:live] += np.where(t >= warm[:live], gain, 0.0)
+        return np.bincount(text, score, len(sizes))
+
+
+def _scoring(tokens: int, types: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("block", "kind", "shard", "doc_ids", "train", "ends", "vocab", "toks", "width", "totals", "kinds")
-        for _, group in _groups(batches, *names):
-            _, _, _, ids, train, ends, vocab, toks, *_ = group[0]
-            vocab, toks, ends = unheld(vocab, "u8"), unheld(toks, "u4").astype(np.int64), unheld(ends, "i8")
-            pairs = [unheld(r[9], f"u{r[8]}") for r in group if r[1] == 1]
-            words = [r for r in group if r[1] == 2]
-            keys = _keys(toks, ends, len(vocab) - 1)
-            distinct, arc = np.unique(keys, return_inverse=True)
-            seen = np.empty(len(distinct), np.int64)
-            seen[_order(_pair_hashes(distinct, vocab), pair_shards)] = np.concatenate(pairs)
-            count, kinds = np.empty(len(vocab), np.int64), np.empty(len(vocab), np.int64)
-            order = _order(_spread(vocab), word_shards)
-            count[order] = np.concatenate([unheld(r[9], "u8") for r in words])
-            kinds[order] = np.concatenate([unheld(r[10], "u8") for r in words])
-            # the automaton: root arcs, failure arcs of states, arcs of states
-            root = (count + 0.5) / (tokens + 0.5 * (types + 1))
-            state, word = distinct // len(vocab), distinct % len(vocab)
-            base = np.maximum(count, 1)
-            fail = np.where(count > 0, discount * kinds / base, 1.0)
-            weight = np.log10(np.maximum(seen - discount, 0) / base[state] + fail[state] * root[word])
-            # the traversal
-            begins = np.concatenate([[0], ends[:-1]])
-            known = np.add.reduceat((count[toks] > 0).astype(np.int64), begins)
-            plain = np.add.reduceat(np.log10(root)[toks], begins)
-            score = np.add.reduceat(weight[arc], begins)
-            out = [pa.array(ids, pa.int64()), pa.array(~unheld(train, "u1").astype(bool)), pa.array(ends - begins), pa.array(known), pa.array(np.full(len(ends), tokens)), pa.array(plain), pa.array(score)]
+        for group in _groups(batches, "block", "shard", "doc_ids", "train", "ends", "vocab", "toks", "width", "totals"):
+            _, _, ids, *row, _, _ = group[0]
+            grams, train = _block(tuple(row))
+            total = np.empty(len(grams.vocab) + len(grams.pairs) + len(grams.triples))
+            total[np.argsort(grams.hashes())] = np.concatenate([unheld(r[8], f"u{r[7]}") for r in group[1:]])
+            automaton = Automaton(grams, total, tokens, types)
+            known = np.add.reduceat((total[grams.toks] > 0).astype(np.int64), grams.begins)
+            plain = np.add.reduceat(automaton.root[grams.toks], grams.begins)
+            score = automaton.walk(grams)
+            out = [pa.array(ids, pa.int64()), pa.array(~train), pa.array(grams.ends - grams.begins), pa.array(known), pa.array(np.full(len(ids), tokens)), pa.array(plain), pa.array(score)]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
@@ -291,43 +311,35 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def _dealt(rows: DataFrame, n: int, run: Callable, schema: str, key: str, *order: str) -> DataFrame:
     """Groups of key, of which there are n, dealt to so many tasks that few share one."""
-    return rows.repartition(2 * n, key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    return rows.repartition(2 * n, key).sortWithinPartitions(key, *order).mapInArrow(giving_back(run), schema)
 
 
-def scores(docs: DataFrame, discount: float = DISCOUNT, folds: int = 5, fold: int = 1) -> DataFrame:
+def scores(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score (see the module's text).
 
     Trained on the rows whose crc32(doc_id as text) mod `folds` is not `fold` (a null
-    id counts as the empty text). Null and empty texts are one token, the end.
-    With nothing to train on, every token is unknown. Repeated rows count and are
-    scored each on their own. Extra columns are ignored; no rows in, no rows out.
+    id counts as the empty text). Null and empty texts are one token, the end; a very
+    long text makes a block by itself and is read in segments. With nothing to train
+    on, every token is unknown. Repeated rows count and are scored each on their own.
+    Extra columns are ignored; no rows in, no rows out.
     """
     scratch = Scratch(docs.sparkSession, "lm")
     id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.crc32(id_text) % folds != fold).alias("train"))
-    made = "block long, doc_ids array<long>, train binary, ends binary, vocab binary, counts binary, toks binary, n_words long, n_pairs long"
-    blocks = scratch.table(rows.mapInArrow(_blocks, made), "blocks")
-    n_words, n_pairs, n_blocks = blocks.agg(F.sum("n_words"), F.sum("n_pairs"), F.greatest(F.count(F.lit(1)), F.lit(1))).first()
-    by_word, by_pair = (max(1, -(-(n or 0) // SHARD_ENTRIES)) for n in (n_words, n_pairs))
-
-    asked = blocks.select("block", "train", "ends", "vocab", "toks").mapInArrow(_ask_pairs(by_pair), ASK)
-    pairs = scratch.table(_dealt(asked, by_pair, _answer_pairs, ANSWER, "shard", "block"), "pairs")
-    none = F.lit(None).cast("binary")
-    own = blocks.select("block", F.lit(-1).alias("shard"), "vocab", "counts", none.alias("states"), none.alias("kinds"))
-    own = own.unionByName(pairs.select("block", "shard", "states", "kinds"), allowMissingColumns=True)
-    asked = _dealt(own, n_blocks, _ask_words(by_word), ASK, "block", "shard")
-    words = scratch.table(_dealt(asked, by_word, _answer_words, ANSWER, "shard", "block"), "words")
-    sums = words.where("block = -1").select("totals").mapInArrow(_totals, "tokens long, types long").agg(F.sum("tokens"), F.sum("types")).first()
+    made = "block long, doc_ids array<long>, train binary, ends binary, vocab binary, toks binary, entries long"
+    blocks = scratch.table(rows.mapInArrow(giving_back(_blocks), made), "blocks")
+    entries, n_blocks = blocks.agg(F.sum("entries"), F.greatest(F.count(F.lit(1)), F.lit(1))).first()
+    shards = max(1, -(-(entries or 0) // SHARD_ENTRIES))
+    asked = blocks.select("block", "train", "ends", "vocab", "toks").mapInArrow(giving_back(_asking(shards)), ASK)
+    answers = scratch.table(_dealt(asked, shards, _answering, ANSWER, "shard", "block"), "answers")
+    sums = answers.where("block = -1").select("width", "totals").mapInArrow(_totals, "tokens long, types long").agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = (int(x or 0) for x in sums)
-
-    whole = blocks.select("block", F.lit(0).alias("kind"), F.lit(-1).alias("shard"), "doc_ids", "train", "ends", "vocab", "toks")
-    for kind, table in ((1, pairs.select("block", "shard", "width", "totals")), (2, words.where("block >= 0").select("block", "shard", "width", "totals", "kinds"))):
-        whole = whole.unionByName(table.withColumn("kind", F.lit(kind)), allowMissingColumns=True)
-    return _dealt(whole, n_blocks, _scoring(by_pair, by_word, tokens, types, discount), SCORES, "block", "kind", "shard")
+    whole = blocks.drop("entries").withColumn("shard", F.lit(-1)).unionByName(answers.where("block >= 0"), allowMissingColumns=True)
+    return _dealt(whole, n_blocks, _scoring(tokens, types), SCORES, "block", "shard")
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        both = [unheld(b, "u8") for b in batch.column("totals").to_pylist()]
+        both = [unheld(b, f"u{w}") for w, b in zip(batch.column("width").to_pylist(), batch.column("totals").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([int(b[i]) for b in both], pa.int64()) for i in (0, 1)], ["tokens", "types"])

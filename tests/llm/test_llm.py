@@ -171,34 +171,58 @@ def test_tree_prunes():
         assert got == [(int(s[i]), int(i)) for i in np.lexsort((np.arange(len(x)), -s))[:5]]
 
 
+class Trigrams:
+    """The model of lm_score by its formulas."""
+
+    def __init__(self, texts):
+        self.one, self.two, self.three, self.starts = (collections.Counter() for _ in range(4))
+        for w in texts:
+            w = ["<s>", *w, None]
+            self.starts["<s>"] += 1
+            self.one.update(w[1:])
+            self.two.update(zip(w, w[1:], strict=False))
+            self.three.update(zip(w, w[1:], w[2:], strict=False))
+        self.n, self.v = sum(self.one.values()), len(self.one)
+
+    def p(self, w, *before):
+        if not before:
+            return (self.one[w] + 0.5) / (self.n + 0.5 * (self.v + 1))
+        counts, k = ((self.two, lm_score.K2), (self.three, lm_score.K3))[len(before) - 1]
+        seen = self.two[before] if len(before) == 2 else self.starts["<s>"] if before[0] == "<s>" else self.one[before[0]]
+        return (counts[*before, w] + k * self.p(w, *before[1:])) / (seen + k)
+
+    def score(self, w):
+        w = ["<s>", *w, None]
+        return sum(math.log10(self.p(w[i], *w[max(0, i - 2) : i])) for i in range(1, len(w)))
+
+
 def test_lm(spark, odd, nothing, monkeypatch):
-    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 3000)
     monkeypatch.setattr(lm_score, "SHARD_ENTRIES", 2000)
     rows = [(i, words(t)) for i, t, *_ in ODD]
     trained = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1 for i, _ in rows]
-    c, c2, ch = (collections.Counter() for _ in range(3))
-    for (_, w), t in zip(rows, trained, strict=True):
-        if t:
-            w = [*w, None]
-            c.update(w)
-            c2.update(zip(["<s>", *w[:-1]], w, strict=True))
-            ch.update(["<s>", *w[:-1]])
-    kinds = collections.Counter(a for a, _ in c2)
-    n, v = sum(c.values()), len(c)
-    p = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
+    model = Trigrams([w for (_, w), t in zip(rows, trained, strict=True) if t])
     want = []
     for (i, w), t in zip(rows, trained, strict=True):
-        w = [*w, None]
-        score = 0.0
-        for a, b in zip(["<s>", *w[:-1]], w, strict=True):
-            score += math.log10(max(c2[a, b] - 0.75, 0) / ch[a] + 0.75 * kinds[a] / ch[a] * p(b) if ch[a] else p(b))
-        want.append((i, not t, len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10(p(x)) for x in w), 4), round(score, 4)))
+        base = sum(math.log10(model.p(x)) for x in [*w, None])
+        want.append((i, not t, len(w) + 1, sum(model.one[x] > 0 for x in [*w, None]), model.n, round(base, 4), round(model.score(w), 4)))
     got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in lm_score.scores(odd).collect()]
     assert sorted(got, key=key) == sorted(want, key=key)
-    # probabilities after a state sum to one, the unknown word's included
-    a = "ipsum"
-    assert abs(sum(max(c2[a, b] - 0.75, 0) / ch[a] + 0.75 * kinds[a] / ch[a] * p(b) for b in [*c, "unknown"]) - 1) < 1e-9
+    for before in (["ipsum"], ["lorem", "ipsum"], ["<s>"], ["<s>", "lorem"]):
+        assert abs(sum(model.p(w, *before) for w in [*model.one, "unknown"]) - 1) < 1e-9
     assert lm_score.scores(nothing).collect() == []
+    only = odd.where("doc_id = 4")  # of fold 4: all are trained on; and nothing trained on
+    assert lm_score.scores(only, folds=1, fold=0).first().n_known == 0
+
+
+def test_lm_documents(spark):
+    """Whole documents in blocks and segments of the usual size, and better than the base."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, words(r.text)) for r in docs.collect()]
+    model = Trigrams([w for i, w in rows if zlib.crc32(str(i).encode()) % 5 != 1])
+    got = {r.doc_id: r for r in lm_score.scores(docs).collect()}
+    assert all(abs(got[i].score - model.score(w)) < 1e-6 * (1 + len(w)) for i, w in rows) and len(got) == len(rows)
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
 def test_packing(spark, odd, nothing):
