@@ -46,6 +46,8 @@ from loomgraph.llm.common import Scratch, giving_back
 #: (chosen by held-out texts).
 K2, K3 = 1000.0, 5.0
 BLOCK_TOKENS, SHARD_ENTRIES, SEGMENT = 400_000, 2_000_000, 256
+#: Bits that a hash has beyond those that number all entries.
+SPARE_BITS = 20
 START, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 #: The two lowest bits of an entry's hash: how many words it has; 0 is the start.
 _KIND = np.uint64(3)
@@ -84,23 +86,26 @@ class Grams:
         self.inner = np.ones(len(toks), bool)
         self.inner[self.begins] = False
         at = np.flatnonzero(self.inner)
-        self.triples, self.triple_at = np.unique(self.pair_at[at - 1] * n + toks[at], return_inverse=True)
+        self.triples, of = np.unique(self.pair_at[at - 1] * n + toks[at], return_inverse=True)
+        self.triple_at = np.full(len(toks), len(self.triples))  # none at a text's first word
+        self.triple_at[at] = of
 
-    def hashes(self) -> np.ndarray:
-        """Of all entries: words and the start, pairs, triples."""
+    def hashes(self, bits: int) -> np.ndarray:
+        """Of all entries: words and the start, pairs, triples; so many bits of the last two."""
         v, n = self.vocab, len(self.vocab)
         a, b = self.pairs // n, self.pairs % n
         u, w = self.triples // n, self.triples % n
         out = [vectext.mix64(v), vectext.combine([v[a], v[b]]), vectext.combine([v[a[u]], v[b[u]], v[w]])]
         kinds = [np.append(np.ones(n - 1, np.uint64), np.uint64(0)), np.full(len(a), 2, np.uint64), np.full(len(u), 3, np.uint64)]
-        return np.concatenate([(h & ~_KIND) | k for h, k in zip(out, kinds, strict=True)])
+        cut = ~np.uint64((1 << 64 - bits) - 1)
+        return np.concatenate([(h & ~_KIND & (cut if i else ~_KIND)) | k for i, (h, k) in enumerate(zip(out, kinds, strict=True))])
 
     def counts(self, train: np.ndarray) -> np.ndarray:
         """Of all entries, in the training texts."""
         seen = np.repeat(train, np.diff(self.ends, prepend=0))
         words = np.bincount(self.toks[seen], minlength=len(self.vocab))
         words[-1] = train.sum()
-        return np.concatenate([words, np.bincount(self.pair_at[seen], minlength=len(self.pairs)), np.bincount(self.triple_at[seen[self.inner]], minlength=len(self.triples))])
+        return np.concatenate([words, np.bincount(self.pair_at[seen], minlength=len(self.pairs)), np.bincount(self.triple_at[seen & self.inner], minlength=len(self.triples))])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,13 +174,13 @@ def _block(row: tuple) -> tuple[Grams, np.ndarray]:
 ASK = "shard int, block long, hashes binary, counts binary"
 
 
-def _asking(shards: int):
+def _asking(shards: int, bits: int):
     """A block's entries in order of hash, cut where the shards' ranges of it begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, *row in _rows(batches, "block", "train", "ends", "vocab", "toks"):
             grams, train = _block(tuple(row))
-            hashes, counts = grams.hashes(), grams.counts(train).astype(np.uint32)
+            hashes, counts = grams.hashes(bits), grams.counts(train).astype(np.uint32)
             order = np.argsort(hashes)
             hashes, counts = hashes[order], counts[order]
             shard = ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
@@ -223,53 +228,47 @@ def _answer(block: int, shard: int, totals: np.ndarray) -> pa.RecordBatch:
 class Automaton:
     """The part of the automaton that a block's texts can reach.
 
-    States: 0 is the root, 1 + w the word w (the start is the last), then the pairs.
-    Arcs of all other states are in one sorted table of (state, word)."""
+    States: 0 is the root, 1 + w the word w (the start is the last), then the pairs. A
+    word state's arc on a word is that of the pair the two make, a pair state's that of
+    the triple; so arcs are numbered as pairs and triples are."""
 
     def __init__(self, grams: Grams, total: np.ndarray, tokens: int, types: int):
-        n, p = len(grams.vocab), len(grams.pairs)
+        self.grams, n, p = grams, len(grams.vocab), len(grams.pairs)
         one, two, three = total[:n], total[n : n + p], total[n + p :]
         a, b = grams.pairs // n, grams.pairs % n
         u, w = grams.triples // n, grams.triples % n
         root = (one + 0.5) / (tokens + 0.5 * (types + 1))
         after_word = (two + K2 * root[b]) / (one[a] + K2)
-        # the pair that a triple ends in
-        last = np.searchsorted(grams.pairs, b[u] * n + w)
+        last = np.searchsorted(grams.pairs, b[u] * n + w)  # the pair that a triple ends in
         after_pair = (three + K3 * after_word[last]) / (two[u] + K3)
-        self.words, self.root = n, np.log10(root)
-        self.root_to = np.where(one > 0, 1 + np.arange(n), 0)
-        pair_state = np.where(two > 0, 1 + n + np.arange(p), self.root_to[b])
-        has2, has3 = two > 0, three > 0
-        keys = np.concatenate([(1 + a[has2]) * n + b[has2], (1 + n + u[has3]) * n + w[has3]])
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.weight = np.log10(np.concatenate([after_word[has2], after_pair[has3]]))[order]
-        self.to = np.concatenate([pair_state[has2], pair_state[last[has3]]])[order]
+        self.weights = np.log10(root), np.log10(after_word), np.append(np.log10(after_pair), 0.0)
+        to_word = np.where(one > 0, 1 + np.arange(n), 0)
+        to_pair = np.where(two > 0, 1 + n + np.arange(p), to_word[b])
+        self.to = to_word, to_pair, np.append(to_pair[last], 0)
+        #: Whether training has the arc; the root has all.
+        self.arc = two > 0, np.append(three > 0, False)
         self.fail = np.log10(np.concatenate([[1.0], K2 / (one + K2), K3 / (two + K3)]))
-        self.fail_to = np.concatenate([np.zeros(1 + n, np.int64), 1 + b])
-
-    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each state goes on its word, and the weight of the arcs it takes."""
-        gain, state, to = np.zeros(len(state)), state.copy(), np.empty(len(state), np.int64)
-        todo = np.arange(len(state))
-        while len(todo):
-            here, w = state[todo], word[todo]
-            at = np.minimum(np.searchsorted(self.keys, here * self.words + w), max(len(self.keys) - 1, 0))
-            arc = (here > 0) & (self.keys[at] == here * self.words + w) if len(self.keys) else np.zeros(len(todo), bool)
-            top = here == 0
-            if arc.any():
-                gain[todo[arc]] += self.weight[at[arc]]
-                to[todo[arc]] = self.to[at[arc]]
-            gain[todo[top]] += self.root[w[top]]
-            to[todo[top]] = self.root_to[w[top]]
-            left = ~(arc | top)
-            todo, here = todo[left], here[left]
-            gain[todo] += self.fail[here]
-            state[todo] = self.fail_to[here]
+        self.fail_to = np.concatenate([np.zeros(1 + n, np.int64), to_word[b]])
+        self.start = n if one[-1] > 0 else 0
+
+    def step(self, state: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each state goes on the word at its place, and the weight of the arcs it
+        takes: its own if it has one for the word, else its failure arc and so on."""
+        grams, gain, to = self.grams, np.zeros(len(state)), np.zeros(len(state), np.int64)
+        reading = np.ones(len(state), bool)
+        for order, number in ((2, grams.triple_at), (1, grams.pair_at), (0, grams.toks)):
+            which = number[at]
+            here = reading & (state > (0, 0, len(grams.vocab))[order]) if order else reading
+            takes = here & self.arc[order - 1][which] if order else here
+            gain += np.where(takes, self.weights[order][which], np.where(here, self.fail[state], 0.0))
+            to = np.where(takes, self.to[order][which], to)
+            state = np.where(here, self.fail_to[state], state)
+            reading = reading & ~takes
         return to, gain
 
-    def walk(self, grams: Grams) -> np.ndarray:
+    def walk(self) -> np.ndarray:
         """Each text's sum of weights."""
+        grams = self.grams
         sizes = grams.ends - grams.begins
         cuts = -(-sizes // SEGMENT)
         text = np.repeat(np.arange(len(sizes)), cuts)
@@ -280,26 +279,26 @@ class Automaton:
         order = np.argsort(-length, kind="stable")
         text, first, length, warm = text[order], first[order], length[order], warm[order]
         # a text begins at the start's state, a segment's two words are read from the root
-        state = np.where(warm > 0, 0, len(grams.vocab) if self.root_to[-1] else 0)
+        state = np.where(warm > 0, 0, self.start)
         score = np.zeros(len(text))
         for t in range(int(length[0]) if len(length) else 0):
             live = int(np.searchsorted(-length, -t, "left"))
-            state[:live], gain = self.step(state[:live], grams.toks[first[:live] + t])
+            state[:live], gain = self.step(state[:live], first[:live] + t)
             score[:live] += np.where(t >= warm[:live], gain, 0.0)
         return np.bincount(text, score, len(sizes))
 
 
-def _scoring(tokens: int, types: int):
+def _scoring(tokens: int, types: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, "block", "shard", "doc_ids", "train", "ends", "vocab", "toks", "width", "totals"):
             _, _, ids, *row, _, _ = group[0]
             grams, train = _block(tuple(row))
             total = np.empty(len(grams.vocab) + len(grams.pairs) + len(grams.triples))
-            total[np.argsort(grams.hashes())] = np.concatenate([unheld(r[8], f"u{r[7]}") for r in group[1:]])
+            total[np.argsort(grams.hashes(bits))] = np.concatenate([unheld(r[8], f"u{r[7]}") for r in group[1:]])
             automaton = Automaton(grams, total, tokens, types)
             known = np.add.reduceat((total[grams.toks] > 0).astype(np.int64), grams.begins)
-            plain = np.add.reduceat(automaton.root[grams.toks], grams.begins)
-            score = automaton.walk(grams)
+            plain = np.add.reduceat(automaton.weights[0][grams.toks], grams.begins)
+            score = automaton.walk()
             out = [pa.array(ids, pa.int64()), pa.array(~train), pa.array(grams.ends - grams.begins), pa.array(known), pa.array(np.full(len(ids), tokens)), pa.array(plain), pa.array(score)]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -331,12 +330,13 @@ def scores(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
     blocks = scratch.table(rows.mapInArrow(giving_back(_blocks), made), "blocks")
     entries, n_blocks = blocks.agg(F.sum("entries"), F.greatest(F.count(F.lit(1)), F.lit(1))).first()
     shards = max(1, -(-(entries or 0) // SHARD_ENTRIES))
-    asked = blocks.select("block", "train", "ends", "vocab", "toks").mapInArrow(giving_back(_asking(shards)), ASK)
+    bits = min(62, max(48, (entries or 1).bit_length() + SPARE_BITS))
+    asked = blocks.select("block", "train", "ends", "vocab", "toks").mapInArrow(giving_back(_asking(shards, bits)), ASK)
     answers = scratch.table(_dealt(asked, shards, _answering, ANSWER, "shard", "block"), "answers")
     sums = answers.where("block = -1").select("width", "totals").mapInArrow(_totals, "tokens long, types long").agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = (int(x or 0) for x in sums)
     whole = blocks.drop("entries").withColumn("shard", F.lit(-1)).unionByName(answers.where("block >= 0"), allowMissingColumns=True)
-    return _dealt(whole, n_blocks, _scoring(tokens, types), SCORES, "block", "shard")
+    return _dealt(whole, n_blocks, _scoring(tokens, types, bits), SCORES, "block", "shard")
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
