@@ -16,7 +16,7 @@ from loomgraph.sources.scratch import Scratch, drop, shared_root
 #: A word: a run of anything but the space and the five ASCII controls \t..\r.
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "Scratch", "documents", "drop", "giving_back", "lookup", "shared_root"]
+__all__ = ["WORD", "Scratch", "clear_shuffles", "documents", "drop", "giving_back", "lookup", "shared_root"]
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -37,6 +37,13 @@ def giving_back(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batche
     return task
 
 
+def clear_shuffles(spark: SparkSession) -> None:
+    """Has Spark delete the files of shuffles that nothing refers to any more, as it
+    does whenever the driver's heap is collected; call it once what they fed is written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

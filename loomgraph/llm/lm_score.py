@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import vectext
-from loomgraph.llm.common import Scratch, giving_back
+from loomgraph.llm.common import Scratch, clear_shuffles, giving_back
 
 #: What the model of one word less counts for, in words seen: after a word, after a pair
 #: (chosen by held-out texts).
@@ -171,7 +171,23 @@ def _block(row: tuple) -> tuple[Grams, np.ndarray]:
     return Grams(unheld(vocab, "u8"), unheld(toks, "u4").astype(np.int64), unheld(ends, "i8")), unheld(train, "u1").astype(bool)
 
 
-ASK = "shard int, block long, hashes binary, counts binary"
+ASK = "shard int, block long, words binary, hashes binary, counts binary"
+
+
+def _sent(hashes: np.ndarray, bits: int) -> tuple[bytes, bytes]:
+    """Ordered hashes as differences: single words (and the start) by themselves, as they
+    have more bits."""
+    one, own = (hashes & _KIND) < 2, np.uint64(64 - bits)
+    more = hashes[~one]
+    short = ((more >> own) << np.uint64(1)) | (more & np.uint64(1))  # a pair or a triple
+    return held(np.diff(hashes[one], prepend=np.uint64(0))), held(np.diff(short, prepend=np.uint64(0)))
+
+
+def _received(words: bytes, more: bytes, bits: int) -> np.ndarray:
+    """What _sent was given, in the order of the whole."""
+    one, short = (np.cumsum(unheld(b, "u8"), dtype=np.uint64) for b in (words, more))
+    back = ((short >> np.uint64(1)) << np.uint64(64 - bits)) | (short & np.uint64(1)) | np.uint64(2)
+    return np.sort(np.concatenate([one, back]))
 
 
 def _asking(shards: int, bits: int):
@@ -186,9 +202,9 @@ def _asking(shards: int, bits: int):
             shard = ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
             starts = np.flatnonzero(np.diff(shard, prepend=-1))
             ends = np.append(starts[1:], len(shard))
-            parts = [(held(np.diff(hashes[a:b], prepend=np.uint64(0))), held(counts[a:b])) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            parts = [(*_sent(hashes[a:b], bits), held(counts[a:b])) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             columns = [pa.array(shard[starts], pa.int32()), pa.array([block] * len(starts), pa.int64()), *[pa.array(c, pa.binary()) for c in zip(*parts, strict=True)]]
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "block", "hashes", "counts"])
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "block", "words", "hashes", "counts"])
 
     return run
 
@@ -196,27 +212,34 @@ def _asking(shards: int, bits: int):
 ANSWER = "block long, shard int, width int, totals binary"
 
 
-def _answering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answering(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, "shard", "block", "words", "hashes", "counts"):
+            yield from _answers(group, bits)
+
+    return run
+
+
+def _answers(group: list[tuple], bits: int) -> Iterator[pa.RecordBatch]:
     """The totals of a shard's entries for each block that asked; and, as block -1, the
     training tokens and the different training words of the shard's range."""
-    for group in _groups(batches, "shard", "block", "hashes", "counts"):
-        shard, parts = group[0][0], [np.cumsum(unheld(r[2], "u8"), dtype=np.uint64) for r in group]
-        hashes, counts = np.concatenate(parts), np.concatenate([unheld(r[3], "u4") for r in group])
-        order = np.argsort(hashes, kind="stable")
-        hashes = hashes[order]
-        new = np.ones(len(hashes), bool)
-        new[1:] = hashes[1:] != hashes[:-1]
-        starts = np.flatnonzero(new)
-        total = np.add.reduceat(counts[order].astype(np.uint64), starts)
-        words = total[(hashes[starts] & _KIND) == 1]
-        yield _answer(-1, shard, np.array([words.sum(), (words > 0).sum()], np.uint64))
-        answer = np.empty(len(order), np.uint64)
-        answer[order] = total[np.cumsum(new) - 1]
-        del hashes, counts, order, new
-        at = 0
-        for row, part in zip(group, parts, strict=True):
-            yield _answer(row[1], shard, answer[at : at + len(part)])
-            at += len(part)
+    shard, parts = group[0][0], [_received(r[2], r[3], bits) for r in group]
+    hashes, counts = np.concatenate(parts), np.concatenate([unheld(r[4], "u4") for r in group])
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    starts = np.flatnonzero(new)
+    total = np.add.reduceat(counts[order].astype(np.uint64), starts)
+    words = total[(hashes[starts] & _KIND) == 1]
+    yield _answer(-1, shard, np.array([words.sum(), (words > 0).sum()], np.uint64))
+    answer = np.empty(len(order), np.uint64)
+    answer[order] = total[np.cumsum(new) - 1]
+    del hashes, counts, order, new
+    at = 0
+    for row, part in zip(group, parts, strict=True):
+        yield _answer(row[1], shard, answer[at : at + len(part)])
+        at += len(part)
 
 
 def _answer(block: int, shard: int, totals: np.ndarray) -> pa.RecordBatch:
@@ -309,8 +332,8 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def _dealt(rows: DataFrame, n: int, run: Callable, schema: str, key: str, *order: str) -> DataFrame:
-    """Groups of key, of which there are n, dealt to so many tasks that few share one."""
-    return rows.repartition(2 * n, key).sortWithinPartitions(key, *order).mapInArrow(giving_back(run), schema)
+    """Groups of key, of which there are n, dealt to as many tasks."""
+    return rows.repartition(n, key).sortWithinPartitions(key, *order).mapInArrow(giving_back(run), schema)
 
 
 def scores(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
@@ -332,7 +355,9 @@ def scores(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
     shards = max(1, -(-(entries or 0) // SHARD_ENTRIES))
     bits = min(62, max(48, (entries or 1).bit_length() + SPARE_BITS))
     asked = blocks.select("block", "train", "ends", "vocab", "toks").mapInArrow(giving_back(_asking(shards, bits)), ASK)
-    answers = scratch.table(_dealt(asked, shards, _answering, ANSWER, "shard", "block"), "answers")
+    answers = scratch.table(_dealt(asked, shards, _answering(bits), ANSWER, "shard", "block"), "answers")
+    del asked
+    clear_shuffles(docs.sparkSession)
     sums = answers.where("block = -1").select("width", "totals").mapInArrow(_totals, "tokens long, types long").agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = (int(x or 0) for x in sums)
     whole = blocks.drop("entries").withColumn("shard", F.lit(-1)).unionByName(answers.where("block >= 0"), allowMissingColumns=True)
