@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that shuffle files go as the query that made them ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -69,8 +71,15 @@ class Scratch:
         _made.append((spark, self.path))
 
     def table(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-        path = f"{self.path}/{name}"
-        df.write.option("compression", compression).parquet(path)
+        """df, written and read again. The files of the shuffles that made it go at once:
+        they serve nothing else."""
+        path, conf = f"{self.path}/{name}", self.spark.conf
+        before = conf.get(CLEAN, None)
+        conf.set(CLEAN, "true")
+        try:
+            df.write.option("compression", compression).parquet(path)
+        finally:
+            conf.unset(CLEAN) if before is None else conf.set(CLEAN, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
