@@ -7,18 +7,22 @@ table, so a shingle's values for all coordinates are one slice of it. Bands of
 `ROWS` coordinates give bucket keys; there are as many bands as make the chance to
 miss a pair at the threshold less than 1e-7.
 
-Candidates. Documents with equal sets are one class from the start. In a bucket
-each class is tied to the bucket's smallest class only (a star), never to every
-other: the components of these ties hold every pair that shares a bucket.
-
-Verification. Full shingle sets go once to the task of their component, where an
-inverted index over each set's rarest shingles (a prefix long enough to meet any
-partner) finds pairs, and exact intersections confirm them. Two classes already
-joined need no further test, so links are at most one per class. A large component
-is cut into blocks by a hash; each pair of blocks is then a task of its own.
-
-No pair list of a group is ever made; labels spread by joins, and nothing but
-counts comes to the driver.
+Candidates. Documents with equal sets are one class from the start; classes that
+share a bucket are candidates.
+
+Verification is on full shingle sets, in two steps, and never makes all pairs of a
+group. (1) Stars: in a bucket each class is compared with the bucket's smallest class.
+Components of the pairs that hold give first labels; mere candidates never join
+anything. (2) What is left: buckets whose classes still have different labels. There
+an inverted index over each set's rarest shingles (a prefix long enough to meet any
+partner) finds the pairs with different labels, and exact intersections confirm them.
+A bucket of more than `BLOCK_SETS` classes is first cut up by those rare shingles, so
+that classes which share no more than a common passage do not meet; should a shingle
+that is rare for its sets still be in more, its classes are compared block by block.
+So all that shares a bucket is compared or already joined, and links are at most one
+for each class and step.
+
+Labels spread by joins, and nothing but counts comes to the driver.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import vectext
@@ -38,7 +42,7 @@ from loomgraph.llm.common import Scratch, giving_back, lookup
 
 ROWS, MISS = 5, 1e-7
 UNIVERSE = 1 << 22
-#: A task's share of a component: sets, and shingles in them.
+#: Sets that are compared in one task, and shingles in them.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
 _table: dict[int, np.ndarray] = {}
 
@@ -119,12 +123,22 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return scratch.table(out.union(out.select("label", "label").distinct()), f"{name}-labels")
 
 
-def linked(sets: list[np.ndarray], threshold: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    """Whether 100 * intersection >= threshold * union, of two sorted sets."""
+    if 100 * min(len(x), len(y)) < threshold * max(len(x), len(y)):
+        return False
+    common = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+    return 100 * common >= threshold * (len(x) + len(y) - common)
+
+
+def linked(sets: list[np.ndarray], threshold: int, side: list[int] | None = None, labels: list[int] | None = None) -> list[tuple[int, int]]:
     """Pairs of sets with 100 * intersection >= threshold * union that join all
     that any such pairs join: a spanning forest, at most one pair for each set.
-    side: only pairs from different sides count."""
+    side: only pairs from different sides count. labels: sets with equal labels are
+    joined from the start."""
     n = len(sets)
-    parent = list(range(n))
+    first: dict[int, int] = {}
+    parent = [first.setdefault(label, i) for i, label in enumerate(labels)] if labels else list(range(n))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -144,7 +158,7 @@ def linked(sets: list[np.ndarray], threshold: int, side: np.ndarray | None = Non
     links = []
     for y in sorted(range(n), key=lambda i: (len(sets[i]), i)):
         size = len(sets[y])
-        prefix = ranked[y][: size - -(-threshold * size // 100) + 1]
+        prefix = ranked[y][: prefix_length(size, threshold)]
         prefix = prefix[~once[prefix]].tolist()
         near = set().union(*[index[t] for t in prefix])
         if near:
@@ -165,34 +179,68 @@ def linked(sets: list[np.ndarray], threshold: int, side: np.ndarray | None = Non
     return links
 
 
+def prefix_length(size: int, threshold: int) -> int:
+    """How many of a set's shingles, in one order of all, have one in common with every
+    similar set's."""
+    return size + threshold * -size // 100 + 1
+
+
+LINKS = "u long, v long"
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], []))], ["u", "v"])
+
+
+def _starring(threshold: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by hub and part, the hub's own set first."""
+        hub, own = None, None
+        for batch in batches:
+            found = []
+            for at, kind, cid, raw in zip(*(batch.column(c).to_pylist() for c in ("hub", "kind", "cid", "shingles")), strict=True):
+                if kind == 0:
+                    hub, own = at, np.frombuffer(raw, np.uint64)
+                elif at == hub and similar(np.frombuffer(raw, np.uint64), own, threshold):
+                    found.append((cid, hub))
+            yield _pairs(found)
+
+    return run
+
+
 def _verifier(threshold: int):
     def links_of(rows: list[tuple]) -> list[tuple[int, int]]:
         if len(rows) < 2:
             return []
-        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
-        across = rows[0][1] != rows[0][2]
-        side = np.array([r[3] for r in rows]) if across else None
-        return [(rows[x][5], rows[y][5]) for x, y in linked(sets, threshold, side)]
+        sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+        side = [r[4] for r in rows] if rows[0][2] != rows[0][3] else None
+        return [(rows[x][6], rows[y][6]) for x, y in linked(sets, threshold, side, [r[7] for r in rows])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group: component, block i, block j."""
+        """Rows come sorted by group (bucket, shingle), block i, block j."""
         group: list[tuple] = []
-        found: list[tuple[int, int]] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("label", "i", "j", "block", "shingles", "cid")), strict=True):
-                if group and row[:3] != group[0][:3]:
+            found: list[tuple[int, int]] = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "shingle", "i", "j", "block", "shingles", "cid", "label")), strict=True):
+                if group and row[:4] != group[0][:4]:
                     found += links_of(group)
                     group = []
                 group.append(row)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["u", "v"])
-                found = []
-        if found := links_of(group):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["u", "v"])
+            yield _pairs(found)
+        yield _pairs(links_of(group))
 
     return run
 
 
+def _exploding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """bucket, cid, label, size and each of a set's shingles."""
+    for batch in batches:
+        for i, raw in enumerate(batch.column("shingles")):
+            own = np.frombuffer(raw.as_buffer(), np.int64)
+            at = pa.array(np.full(len(own), i), pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in ("bucket", "cid", "label")], pa.array(np.full(len(own), len(own)), pa.int64()), pa.array(own)], ["bucket", "cid", "label", "size", "shingle"])
+
+
 def _setter(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Full sets of the texts; a row whose text is not that of its class (an id
@@ -217,13 +265,76 @@ def near_groups(docs: DataFrame, width: int = 3, threshold: int = 85) -> DataFra
     100 * |intersection| >= threshold * |union| are linked; component_id is the
     smallest doc_id reachable. Null, empty and blank texts have no set and stand
     alone. Equal sets are linked, so repeated rows fall together. A null doc_id
-    stands alone unless its set is shared. Extra columns are ignored; no rows in,
-    no rows out.
+    stands alone unless its set is shared. Very long texts count whole, a set at a
+    time. Extra columns are ignored; no rows in, no rows out.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("text_key"))
     return _grouped(rows, width, threshold).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def _full_sets(rows: DataFrame, classes: DataFrame, held: DataFrame, width: int) -> DataFrame:
+    """cid, shingles of the classes that share a bucket, from the texts. These classes
+    grow with the input, so they are dealt, never broadcast."""
+    active = classes.select("cid", "doc_id", "set_key").join(held.select("cid").distinct(), "cid", "left_semi")
+    same_id = F.col("d.doc_id").eqNullSafe(F.col("a.doc_id"))
+    texts = rows.alias("d").join(active.alias("a").hint("merge"), same_id).select("cid", "set_key", "text")
+    return texts.mapInArrow(giving_back(_setter(width)), "cid long, shingles binary").dropDuplicates(["cid"])
+
+
+def _stars(ties: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """u, v of the ties (cid, hub) that hold. A hub's set goes to as many tasks as its
+    classes fill."""
+    shares = ties.groupBy("hub").agg(F.count(F.lit(1)).alias("members"))
+    parts = F.ceil(F.col("members") / BLOCK_SETS).cast("int")
+    members = lookup(ties, shares, "hub", "members", ["cid"]).select("hub", "cid", F.pmod(F.xxhash64("cid"), parts).cast("int").alias("part"), F.lit(1).alias("kind"))
+    own = shares.select("hub", F.col("hub").alias("cid"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("kind"))
+    both = members.unionByName(own).join(sets, "cid")
+    both = both.repartition("hub", "part").sortWithinPartitions("hub", "part", "kind", "cid")
+    return both.mapInArrow(giving_back(_starring(threshold)), LINKS)
+
+
+def _rest(held: DataFrame, sets: DataFrame, labels: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """u, v that join what similar pairs of different labels in one bucket join."""
+    held = held.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("label", "cid").alias("label"))
+    held = scratch.table(held, "labelled")
+    same = [F.sum(F.xxhash64("cid", F.lit(k)).cast("decimal(20,0)")).alias(f"h{k}") for k in (1, 2)]
+    mixed = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b"), *same).where("a <> b")
+    # buckets of the same classes are compared once
+    mixed = scratch.table(mixed.groupBy("n", "a", "b", "h1", "h2").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "mixed")
+    left = lookup(held, mixed, "bucket", "n", ["cid"]).where("n is not null").drop("__j")
+    left = scratch.table(left, "left")
+    none = F.lit(None).cast("long")
+    groups = left.where(F.col("n") <= BLOCK_SETS).select("bucket", none.alias("shingle"), "cid", "label")
+    large = left.where(F.col("n") > BLOCK_SETS)
+    if not large.isEmpty():
+        groups = groups.unionByName(_cut_up(large, sets, threshold, scratch))
+    groups = scratch.table(groups, "groups")
+    key = F.concat(F.hex("bucket"), F.lit(":"), F.coalesce(F.hex("shingle"), F.lit("")))
+    sized = groups.join(sets.select("cid", (F.octet_length("shingles") / 8).alias("size")), "cid").withColumn("group", key)
+    shares = sized.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    sized = lookup(sized, scratch.table(shares, "shares"), "group", "members", ["cid"]).withColumn("block", F.pmod(F.xxhash64("cid"), "parts").cast("int"))
+    pairs = sized.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = pairs.select("bucket", "shingle", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "cid", "label").join(sets, "cid")
+    pairs = pairs.repartition("bucket", "shingle", "i", "j").sortWithinPartitions("bucket", "shingle", "i", "j", "cid")
+    return pairs.mapInArrow(giving_back(_verifier(threshold)), LINKS)
+
+
+def _cut_up(large: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """Classes (bucket, cid, label) of large buckets by the shingles of their prefixes,
+    the rarest of the bucket first: bucket, shingle, cid, label. Similar ones meet under
+    one of them; a shingle that one label alone has is left out."""
+    each = large.select("bucket", "cid", "label").join(sets, "cid").mapInArrow(giving_back(_exploding), "bucket long, cid long, label long, size long, shingle long")
+    each = scratch.table(each.withColumn("key", F.concat(F.hex("bucket"), F.lit(":"), F.hex("shingle"))), "each")
+    often = scratch.table(each.groupBy("key").agg(F.count(F.lit(1)).alias("often")), "often")
+    each = lookup(each, often, "key", "often", ["cid"])
+    order = Window.partitionBy("bucket", "cid").orderBy("often", "shingle")
+    room = F.col("size") - F.ceil(F.col("size") * threshold / 100) + 1
+    each = each.withColumn("place", F.row_number().over(order)).where((F.col("place") <= room) & (F.col("often") > 1))
+    each = scratch.table(each.select("key", "bucket", "shingle", "cid", "label"), "prefixes")
+    mixed = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key", "n")
+    return lookup(each, scratch.table(mixed, "shared"), "key", "n", ["cid"]).where("n is not null").select("bucket", "shingle", "cid", "label")
+
+
 def _grouped(rows: DataFrame, width: int, threshold: int) -> DataFrame:
     """near_groups of rows with a text_key, and that key; lead has the smallest id of a
     group (none comes last) and the smallest text_key that goes with it."""
@@ -234,27 +345,20 @@ def _grouped(rows: DataFrame, width: int, threshold: int) -> DataFrame:
     classes = signs.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("lead"))
     classes = scratch.table(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     held = classes.select("cid", F.explode("buckets").alias("bucket"))
-    hubs = held.groupBy("bucket").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    ties = held.join(hubs, "bucket").where("cid <> hub").select(F.col("cid").alias("u"), F.col("hub").alias("v")).distinct()
-    labels = components(ties, scratch, "ties")
-
-    active = classes.select("cid", "doc_id", "set_key", "n").join(labels.withColumnRenamed("node", "cid"), "cid")
-    shares = active.groupBy("label").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"), F.count(F.lit(1)).alias("members"))
-    active = scratch.table(lookup(active, shares, "label", "members", ["cid"]).drop("members", "__j"), "active")
-    same_id = F.col("d.doc_id").eqNullSafe(F.col("a.doc_id"))
-    # the active classes grow with the input: they are dealt, never broadcast
-    texts = rows.alias("d").join(active.select("doc_id", "set_key", "cid").alias("a").hint("merge"), same_id).select("cid", "set_key", "text")
-    sets = texts.mapInArrow(giving_back(_setter(width)), "cid long, shingles binary").dropDuplicates(["cid"])
-    full = active.select("cid", "label", "parts", F.pmod(F.xxhash64("cid"), "parts").cast("int").alias("block")).join(sets, "cid")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    pairs = full.withColumn("o", other).select("label", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "shingles", "cid")
-    pairs = pairs.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "cid")
-    links = scratch.table(pairs.mapInArrow(giving_back(_verifier(threshold)), "u long, v long"), "links")
-    joined = components(links, scratch, "links")
+    hubs = scratch.table(held.groupBy("bucket").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs")
+    held = scratch.table(lookup(held, hubs, "bucket", "n", ["cid"]).where("hub is not null").drop("__j", "n"), "held")
+    ties = scratch.table(held.where("cid <> hub").select("cid", "hub").distinct(), "ties")
+    sets = scratch.table(_full_sets(rows, classes, held, width), "sets")
+    stars = scratch.table(_stars(ties, sets, threshold), "stars")
+    labels = components(stars, scratch, "stars")
+    links = scratch.table(_rest(held, sets, labels, threshold, scratch), "links")
+    joined = labels if links.isEmpty() else components(stars.union(links), scratch, "links")
 
     named = classes.select("cid", "set_key", "doc_id", "size", "lead").join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     first = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.sum("size").alias("total"), F.min("lead").alias("lead"))
-    named = scratch.table(named.select("set_key", "size", "label").join(first, "label").where("total > 1").select("set_key", "size", "component_id", "lead"), "named")
+    first = scratch.table(first.where("total > 1"), "first")
+    named = lookup(named.select("cid", "set_key", "size", "label"), first, "label", "total", ["cid"]).where("total is not null")
+    named = scratch.table(named.select("set_key", "size", "component_id", "lead"), "named")
     out = lookup(signs.select("doc_id", "text_key", "n_shingles", "set_key"), named, "set_key", "size", ["doc_id"])
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "lead")

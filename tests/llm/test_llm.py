@@ -81,9 +81,12 @@ def test_near_groups(spark, odd, width, percent):
     assert sorted(got) == sorted(grouped(rows, width, percent))
 
 
-def test_near_groups_in_blocks(spark, monkeypatch):
-    """A large group of edited copies, cut into blocks, and many exact copies of one."""
-    monkeypatch.setattr(minhash, "BLOCK_SETS", 7)
+@pytest.mark.parametrize("block", [4, 1024])
+def test_near_groups_in_blocks(spark, monkeypatch, block):
+    """A large group of edited copies, many exact copies of one, chains whose ends are
+    not similar, and texts that share a long passage and no more; also with buckets and
+    shingles of more classes than one task compares."""
+    monkeypatch.setattr(minhash, "BLOCK_SETS", block)
     rng = np.random.default_rng(3)
     rows = []
     for i in range(60):
@@ -92,11 +95,32 @@ def test_near_groups_in_blocks(spark, monkeypatch):
             w[at] = f"edit{rng.integers(1000)}"
         rows.append((i, " ".join(w)))
     rows += [(100 + i, rows[5][1]) for i in range(40)]
+    for i in rng.permutation(30).tolist():
+        rows.append((200 + i, " ".join(f"v{k}" for k in range(2 * i, 2 * i + 90))))
+    for i in range(40):
+        rows.append((300 + i, " ".join([*[f"p{k}" for k in range(70)], *[f"own{i // 2}-{k}" for k in range(25)], f"last{i}"])))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_groups(docs, 3, 85).collect()]
     assert sorted(got) == sorted(grouped(rows, 3, 85))
 
 
+def test_cut_up(spark):
+    """The shingles of a large bucket bring all similar sets of different labels together."""
+    rng = np.random.default_rng(6)
+    common = rng.integers(0, 1 << 62, 40)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 1 << 62, 60)])) for _ in range(30)]
+    sets += [np.unique(np.concatenate([s[: -int(rng.integers(1, 8))], rng.integers(0, 1 << 62, 3)])) for s in sets]
+    table = spark.createDataFrame([(i, bytearray(s.astype(np.uint64).tobytes())) for i, s in enumerate(sets)], "cid long, shingles binary")
+    large = table.select(F.lit(7).cast("long").alias("bucket"), "cid", F.col("cid").alias("label"))
+    found = minhash._cut_up(large, table, 85, Scratch(spark, "test")).collect()
+    under = collections.defaultdict(set)
+    for r in found:
+        under[r.shingle].add(r.cid)
+    near = {(x, y) for y in range(60) for x in range(y) if minhash.similar(sets[x], sets[y], 85)}
+    assert near and all(any({x, y} <= members for members in under.values()) for x, y in near)
+    assert max(map(len, under.values())) < 30
+
+
 def test_near_empty(nothing):
     assert minhash.near_groups(nothing).collect() == [] and minhash.keep_first(nothing).collect() == []
 
