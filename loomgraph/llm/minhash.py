@@ -11,16 +11,17 @@ Candidates. Documents with equal sets are one class from the start; classes that
 share a bucket are candidates.
 
 Verification is on full shingle sets, in two steps, and never makes all pairs of a
-group. (1) Stars: in a bucket each class is compared with the bucket's smallest class.
-Components of the pairs that hold give first labels; mere candidates never join
-anything. (2) What is left: buckets whose classes still have different labels. There
-an inverted index over each set's rarest shingles (a prefix long enough to meet any
-partner) finds the pairs with different labels, and exact intersections confirm them.
-A bucket of more than `BLOCK_SETS` classes is first cut up by those rare shingles, so
-that classes which share no more than a common passage do not meet; should a shingle
-that is rare for its sets still be in more, its classes are compared block by block.
-So all that shares a bucket is compared or already joined, and links are at most one
-for each class and step.
+group. (1) Stars: in a bucket each class is compared with one of them, the hub.
+Components of the pairs that hold give labels; mere candidates never join anything.
+Buckets whose classes still have different labels get another hub, for the classes
+of other labels than its own, `ROUNDS` times in all. (2) What is left: in buckets that
+are mixed even then, an inverted index over each set's rarest shingles (a prefix long
+enough to meet any partner) finds the pairs with different labels, and exact
+intersections confirm them. A bucket of more than `BLOCK_SETS` classes is first cut up
+by those rare shingles, so that classes which share no more than a common passage do
+not meet; should a shingle that is rare for its sets still be in more, its classes are
+compared block by block. So all that shares a bucket is compared or already joined,
+and links are at most one for each class and step.
 
 Labels spread by joins, and nothing but counts comes to the driver.
 """
@@ -43,7 +44,9 @@ from loomgraph.llm.common import Scratch, giving_back, lookup
 ROWS, MISS = 5, 1e-7
 UNIVERSE = 1 << 22
 #: Sets that are compared in one task, and shingles in them.
-BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 4096, 2_000_000
+#: Rounds of stars: the first settles nearly all that stars can.
+ROUNDS = 1
 _table: dict[int, np.ndarray] = {}
 
 
@@ -281,25 +284,29 @@ def _full_sets(rows: DataFrame, classes: DataFrame, held: DataFrame, width: int)
     return texts.mapInArrow(giving_back(_setter(width)), "cid long, shingles binary").dropDuplicates(["cid"])
 
 
-def _stars(ties: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """u, v of the ties (cid, hub) that hold. A hub's set goes to as many tasks as its
-    classes fill."""
-    shares = ties.groupBy("hub").agg(F.count(F.lit(1)).alias("members"))
+def _stars(held: DataFrame, sets: DataFrame, threshold: int, turn: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of classes in buckets (bucket, cid, label): those of buckets with several labels,
+    and u, v of the pairs (class, hub) that hold. The hub is the class of least hash by
+    `turn`; its set goes to as many tasks as its classes fill."""
+    hubs = held.groupBy("bucket").agg(F.min_by(F.struct("cid", "label"), F.xxhash64("cid", F.lit(turn))).alias("hub"), F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
+    hubs = scratch.table(hubs.select("bucket", "hub", "n"), f"hubs-{turn}")
+    held = scratch.table(lookup(held, hubs, "bucket", "n", ["cid"]).where("n is not null").select("bucket", "cid", "label", "hub"), f"mixed-{turn}")
+    ties = scratch.table(held.where("label <> hub.label").select("cid", F.col("hub.cid").alias("hub")).distinct(), f"ties-{turn}")
+    shares = scratch.table(ties.groupBy("hub").agg(F.count(F.lit(1)).alias("members")), f"shares-{turn}")
     parts = F.ceil(F.col("members") / BLOCK_SETS).cast("int")
     members = lookup(ties, shares, "hub", "members", ["cid"]).select("hub", "cid", F.pmod(F.xxhash64("cid"), parts).cast("int").alias("part"), F.lit(1).alias("kind"))
     own = shares.select("hub", F.col("hub").alias("cid"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("kind"))
     both = members.unionByName(own).join(sets, "cid")
     both = both.repartition("hub", "part").sortWithinPartitions("hub", "part", "kind", "cid")
-    return both.mapInArrow(giving_back(_starring(threshold)), LINKS)
+    return held, scratch.table(both.mapInArrow(giving_back(_starring(threshold)), LINKS), f"stars-{turn}")
 
 
-def _rest(held: DataFrame, sets: DataFrame, labels: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+def _rest(held: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
     """u, v that join what similar pairs of different labels in one bucket join."""
-    held = held.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("label", "cid").alias("label"))
-    held = scratch.table(held, "labelled")
     same = [F.sum(F.xxhash64("cid", F.lit(k)).cast("decimal(20,0)")).alias(f"h{k}") for k in (1, 2)]
     mixed = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b"), *same).where("a <> b")
-    # buckets of the same classes are compared once
+    # the two classes of a bucket have met; buckets of the same classes are compared once
+    mixed = mixed.where("n > 2")
     mixed = scratch.table(mixed.groupBy("n", "a", "b", "h1", "h2").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "mixed")
     left = lookup(held, mixed, "bucket", "n", ["cid"]).where("n is not null").drop("__j")
     left = scratch.table(left, "left")
@@ -345,14 +352,18 @@ def _grouped(rows: DataFrame, width: int, threshold: int) -> DataFrame:
     classes = signs.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("lead"))
     classes = scratch.table(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     held = classes.select("cid", F.explode("buckets").alias("bucket"))
-    hubs = scratch.table(held.groupBy("bucket").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs")
-    held = scratch.table(lookup(held, hubs, "bucket", "n", ["cid"]).where("hub is not null").drop("__j", "n"), "held")
-    ties = scratch.table(held.where("cid <> hub").select("cid", "hub").distinct(), "ties")
+    shared = scratch.table(held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    held = scratch.table(lookup(held, shared, "bucket", "n", ["cid"]).where("n is not null").select("bucket", "cid", F.col("cid").alias("label")), "held")
     sets = scratch.table(_full_sets(rows, classes, held, width), "sets")
-    stars = scratch.table(_stars(ties, sets, threshold), "stars")
-    labels = components(stars, scratch, "stars")
-    links = scratch.table(_rest(held, sets, labels, threshold, scratch), "links")
-    joined = labels if links.isEmpty() else components(stars.union(links), scratch, "links")
+    links: DataFrame = sets.select(F.col("cid").alias("u"), F.col("cid").alias("v")).where("false")
+    for i in range(ROUNDS):
+        held, stars = _stars(held, sets, threshold, i, scratch)
+        links = links.union(stars)
+        joined = components(links, scratch, f"stars-{i}")
+        held = held.select("bucket", "cid").join(joined.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("label", "cid").alias("label"))
+        held = scratch.table(held, f"labelled-{i}")
+    rest = scratch.table(_rest(held, sets, threshold, scratch), "rest")
+    joined = joined if rest.isEmpty() else components(links.union(rest), scratch, "links")
 
     named = classes.select("cid", "set_key", "doc_id", "size", "lead").join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     first = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.sum("size").alias("total"), F.min("lead").alias("lead"))

@@ -81,12 +81,13 @@ def test_near_groups(spark, odd, width, percent):
     assert sorted(got) == sorted(grouped(rows, width, percent))
 
 
-@pytest.mark.parametrize("block", [4, 1024])
-def test_near_groups_in_blocks(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "rounds"), [(4, 1), (1024, 2)])
+def test_near_groups_in_blocks(spark, monkeypatch, block, rounds):
     """A large group of edited copies, many exact copies of one, chains whose ends are
     not similar, and texts that share a long passage and no more; also with buckets and
     shingles of more classes than one task compares."""
     monkeypatch.setattr(minhash, "BLOCK_SETS", block)
+    monkeypatch.setattr(minhash, "ROUNDS", rounds)
     rng = np.random.default_rng(3)
     rows = []
     for i in range(60):
