@@ -1,17 +1,22 @@
 """Main text of web pages by composite text density.
 
 A page becomes a DOM of its block elements; inline elements count as tags of the
-block they are in. What the page itself declares to be something else (menus,
-headers, footers, asides, forms, adverts, notices, comments, scripts ...) is left
-out. Every block then has characters C, tags T, linked characters LC and link tags
-LT of its subtree, and the density
+block they are in. Scripts, styles, hidden elements, menus, footers, asides and the
+like are left out, and so are blocks that name themselves headers, forms, notices,
+adverts, comments and so on (by tag, role, class or id), unless they hold most of the
+page's article: a name alone takes no text that the page consists of. Every block then
+has characters C, tags T, linked characters LC and link tags LT of its subtree, and
+the density
 
     C / T * log(C / LC * T / LT, base ln(C / (C - LC) * LC + LC_body / C_body * C + e))
 
 (zeros count as 1), which links pull down. The block with the largest sum of its
 children's densities is content. The least density on the way from it up to the
 body is the threshold: other blocks that reach it add the largest-sum block of
-their own subtrees. Content in an article element is all of that article.
+their own subtrees. What lies between two pieces of content in one parent, and a
+heading right before the first, belongs to it, unless most of it is linked. An article
+element most of whose unlinked characters are content by then is content as a whole,
+with its headings and lists of links.
 """
 
 from __future__ import annotations
@@ -29,7 +34,9 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript")
-DROPPED = frozenset("head script style noscript template textarea iframe object embed svg math canvas audio video nav footer aside form button select option fieldset dialog menu title".split())
+DROPPED = frozenset("head script style noscript template textarea iframe object embed svg canvas audio video button select option title".split())
+ASIDE = frozenset("nav footer aside dialog menu".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alertdialog alert form menu menubar toolbar".split())
 PARTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar share sharing social related recommended comment comments disqus respond replies".split()
@@ -49,36 +56,41 @@ class Block:
     __slots__ = ("name", "parent", "items", "chars", "tags", "link_chars", "links", "density", "sum", "best", "declared")
 
     def __init__(self, name: str, parent: Block | None, declared: bool = False):
-        #: declared: whether its class or id names a part of the page that is no content.
+        #: declared: whether it names itself a part of the page that is no content.
         self.name, self.parent, self.declared = name, parent, declared
         self.items: list[Block | str] = []
         self.chars = self.link_chars = self.links = 0
         self.tags = 1
 
+    def blocks(self) -> list[Block]:
+        return [i for i in self.items if isinstance(i, Block)]
 
-def boilerplate(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element declares itself to be no part of the article."""
-    if name in DROPPED or (name == "header" and not inside):
+
+def hidden(name: str, attributes: str) -> bool:
+    """Whether nothing of an element is to be read."""
+    if name in DROPPED:
         return True
-    if not attributes:
-        return False
-    for key, value in _ATTRIBUTE.findall(attributes):
+    for key, value in _ATTRIBUTE.findall(attributes) if attributes else ():
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
             return True
-        if key == "role" and value in ROLES and not (name == "article"):
-            return True
     return False
 
 
-def declared(name: str, attributes: str) -> bool:
-    """Whether a whole class or id names a part of the page: all words of a hyphenated
-    one, as in cookie-notice; has-sidebar, ad-free and social-science name none."""
-    if not attributes or name in ("body", "html", "article", "main"):
+def declared(name: str, attributes: str, inside: bool) -> bool:
+    """Whether an element names itself a part of the page that is no content, by tag or
+    role, or by a whole class or id: all words of a hyphenated one, as in
+    cookie-notice; has-sidebar, ad-free and social-science name none."""
+    if name in ("body", "html", "article", "main"):
         return False
-    for key, value in _ATTRIBUTE.findall(attributes):
+    if name in ASIDE or name in ("form", "fieldset") or (name == "header" and not inside):
+        return True
+    for key, value in _ATTRIBUTE.findall(attributes) if attributes else ():
+        tokens = value.strip("\"'").lower().split()
+        if key.lower() == "role" and ROLES.intersection(tokens):
+            return True
         if key.lower() in ("class", "id"):
-            for token in value.strip("\"'").lower().split():
+            for token in tokens:
                 words = _NAME.findall(token)
                 if words and PARTS.issuperset(words):
                     return True
@@ -170,10 +182,10 @@ def parse(page: str) -> Block:
             text(" " if name in ("br", "hr") else "")
             continue
         outside, link = here, name == "a"
-        if skip < 0 and boilerplate(name, m[2], articles > 0):
+        if skip < 0 and hidden(name, m[2]):
             skip = len(stack)
             here.items.append(" ")
-        elif skip < 0 and ((part := declared(name, m[2])) or name not in INLINE):
+        elif skip < 0 and ((part := declared(name, m[2], articles > 0)) or name not in INLINE):
             block = Block(name, here, part)
             here.items.append(block)
             here = block
@@ -195,24 +207,27 @@ def _ordered(body: Block) -> list[Block]:
 
 
 def drop_declared(body: Block) -> None:
-    """Leaves out declared blocks, but none around an article or main element or, where
-    the page has neither, most of its unlinked characters. Inline ones that stay are
-    again part of their block."""
+    """Leaves out declared blocks, but none that holds most of the unlinked characters of
+    the page's article and main elements (of the page, where it has neither; a menu, a
+    footer or an aside is left out even then). Inline ones that stay are again part of
+    their block."""
     order = _ordered(body)
     if not any(block.declared for block in order):
         return
     plain: dict[int, int] = {}
-    holds: dict[int, bool] = {}
+    told: dict[int, int] = {}  # unlinked characters in article and main elements
     for block in reversed(order):
-        inner = [i for i in block.items if isinstance(i, Block)]
+        inner = block.blocks()
         plain[id(block)] = block.chars - block.link_chars + sum(plain[id(i)] for i in inner)
-        holds[id(block)] = any(i.name in ("article", "main") or holds[id(i)] for i in inner)
+        told[id(block)] = sum(plain[id(i)] if i.name in ("article", "main") else told[id(i)] for i in inner)
+    whole = told[id(body)]
+    stays = lambda i: 2 * told[id(i)] > whole if whole else i.name not in ASIDE and 2 * plain[id(i)] > plain[id(body)]
     for block in reversed(order):
         items: list[Block | str] = []
         for i in block.items:
             if not isinstance(i, Block) or not i.declared:
                 items.append(i)
-            elif not holds[id(i)] and (holds[id(body)] or 2 * plain[id(i)] <= plain[id(body)]):
+            elif not stays(i):
                 items.append(" ")
             elif i.name not in INLINE:
                 items.append(i)
@@ -248,23 +263,44 @@ def measure(body: Block) -> None:
                 block.best = i.best
 
 
-def content(body: Block) -> list[Block]:
-    """The blocks that are content, none inside another."""
+def content(body: Block) -> dict[int, set[int]]:
+    """What is content: of each block (by id) that has some itself, the places of its
+    items that are."""
     measure(body)
     if not body.chars:
-        return []
-    best = body.best
-    threshold = min(b.density for b in _up(best))
-    marked: list[Block] = []
-    todo = [body]
-    while todo:
-        block = todo.pop()
-        if block.density >= threshold:
-            found = block.best if block.best.sum > 0 else block
-            marked.append(next((b for b in reversed(list(_up(found))) if b.name == "article"), found))
-            todo += [i for i in block.items if isinstance(i, Block)]
-    chosen = set(map(id, marked))
-    return [b for b in marked if not any(id(u) in chosen for u in list(_up(b))[1:])]
+        return {}
+    threshold = min(b.density for b in _up(body.best))
+    order = _ordered(body)
+    chosen = {id(b.best if b.best.sum > 0 else b) for b in order if b.density >= threshold}
+    parts: dict[int, set[int]] = {}
+    kept: dict[int, int] = {}  # unlinked characters of a block that are content
+    plain = {id(b): b.chars - b.link_chars for b in order}
+    for block in reversed(order):
+        at = {i for i, x in enumerate(block.items) if isinstance(x, Block) and id(x) in chosen}
+        if id(block) in chosen:
+            kept[id(block)] = plain[id(block)]
+            continue
+        parts[id(block)] = at = _closed(block, at)
+        kept[id(block)] = sum(plain[id(x)] if i in at else kept[id(x)] for i, x in enumerate(block.items) if isinstance(x, Block))
+        if block.name == "article" and 2 * kept[id(block)] > plain[id(block)]:
+            chosen.add(id(block))
+            kept[id(block)] = plain[id(block)]
+    if id(body) in chosen:
+        parts[id(body)] = set(range(len(body.items)))
+    return parts
+
+
+def _closed(block: Block, at: set[int]) -> set[int]:
+    """Places of a block's items that are content, if those `at` are: what lies between
+    them too, and a heading before the first, unless most of it is linked."""
+    if not at:
+        return at
+    own = lambda x: not isinstance(x, Block) or 2 * x.link_chars <= x.chars
+    out = at | {i for i in range(min(at), max(at)) if own(block.items[i])}
+    before = [i for i in range(min(at)) if isinstance(block.items[i], Block) and block.items[i].chars]
+    if before and own(block.items[before[-1]]) and any(b.name in HEADINGS for b in _ordered(block.items[before[-1]])):
+        out.add(before[-1])
+    return out
 
 
 def _up(block: Block | None) -> Iterator[Block]:
@@ -273,27 +309,22 @@ def _up(block: Block | None) -> Iterator[Block]:
         block = block.parent
 
 
-def _words(block: Block, out: list[str]) -> None:
-    out.append(" ")
-    for i in block.items:
-        if isinstance(i, Block):
-            _words(i, out)
-        else:
-            out.append(i)
-    out.append(" ")
-
-
 def main_text(page: str) -> str:
     body = parse(page)
-    chosen = {id(b) for b in content(body)}
+    parts = content(body)
     out: list[str] = []
-    todo: list[Block] = [body]
+    #: Blocks and texts still to read, the next one last, and whether they are content.
+    todo: list[tuple[Block | str, bool]] = [(body, False)]
     while todo:
-        block = todo.pop()
-        if id(block) in chosen:
-            _words(block, out)
-        else:
-            todo += [i for i in reversed(block.items) if isinstance(i, Block)]
+        item, whole = todo.pop()
+        if isinstance(item, str):
+            out.append(item if whole else "")
+            continue
+        inside = parts.get(id(item), ())
+        if whole:
+            out.append(" ")
+            todo.append((" ", True))
+        todo += [(x, whole or i in inside) for i, x in reversed(list(enumerate(item.items)))]
     return " ".join("".join(out).split())
 
 
@@ -306,9 +337,11 @@ def _extracting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """One row per input row: page_id, url, text, n_chars (code points of text).
 
-    A null, empty or wholly boilerplate page gives the text "" and 0. Broken markup
-    is read as far as it goes. Repeated rows are extracted each on its own; extra
-    columns are ignored; no rows in, no rows out.
+    A null or empty page, and one of menus and the like alone, gives the text "" and 0.
+    Broken markup is read as far as it goes, and however deep elements nest. A very
+    long page is read whole, by itself. Of blocks with equal sums the outer, then the
+    first counts. Repeated rows are extracted each on its own; extra columns are
+    ignored; no rows in, no rows out.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     return rows.mapInArrow(_extracting, "page_id long, url string, text string, n_chars long")

@@ -339,7 +339,7 @@ def _cut_up(large: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch)
     each = each.withColumn("place", F.row_number().over(order)).where((F.col("place") <= room) & (F.col("often") > 1))
     each = scratch.table(each.select("key", "bucket", "shingle", "cid", "label"), "prefixes")
     mixed = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key", "n")
-    return lookup(each, scratch.table(mixed, "shared"), "key", "n", ["cid"]).where("n is not null").select("bucket", "shingle", "cid", "label")
+    return lookup(each, scratch.table(mixed, "several"), "key", "n", ["cid"]).where("n is not null").select("bucket", "shingle", "cid", "label")
 
 
 def _grouped(rows: DataFrame, width: int, threshold: int) -> DataFrame:

@@ -56,3 +56,38 @@ def test_beside_the_article():
     """A lead and a section in main, next to the article."""
     page = f"<main>{paragraphs(f'{SAID} {MORE}')}<article>{paragraphs(*LONGER)}</article><section>{paragraphs(MORE, SAID)}</section></main>{AROUND}<footer>{SAID}</footer>"
     assert html_density.main_text(page) == " ".join([SAID, MORE, *LONGER, MORE, SAID])
+
+
+def test_pages_of_blocks():
+    """No article element: density, links and order decide; headings stay."""
+    body = f"<h1>The river</h1><div><span>By someone</span></div><p>{SAID}</p><h2>The mill</h2><p>{MORE}</p><p>{SAID}</p>"
+    for wrapped in (body, f"<section>{body}</section>", f"<table><tr><td>{body}</td></tr></table>"):
+        page = f"<body><div>{AROUND}</div><div>{wrapped}</div><footer>{SAID}</footer></body>"
+        assert html_density.main_text(page) == f"The river By someone {SAID} The mill {MORE} {SAID}"
+
+
+def test_best_block_is_not_the_article():
+    """The largest sum is a block inside the article: its lead, heading and list of
+    references come out too, as most of the article is content."""
+    refs = "".join(f'<li><a href="/{i}">Source number {i}</a></li>' for i in range(3))
+    page = f"<article><header><h1>The river</h1></header><p>{SAID}</p><div>{paragraphs(*LONGER)}</div><ul>{refs}</ul></article>{AROUND}"
+    assert html_density.main_text(page) == " ".join(["The river", SAID, *LONGER, *[f"Source number {i}" for i in range(3)]])
+
+
+def test_form_around_the_page():
+    page = f"<form><div>{paragraphs(SAID, MORE)}</div></form>"
+    assert html_density.main_text(page) == f"{SAID} {MORE}"
+    assert html_density.main_text(f"<div>{paragraphs(SAID, MORE)}<form>Your name <input> and mail</form></div>") == f"{SAID} {MORE}"
+
+
+def test_deep_pages():
+    page = "<div>" * 5000 + paragraphs(SAID, MORE) + "</div>" * 5000
+    assert html_density.main_text(page) == f"{SAID} {MORE}"
+    assert html_density.main_text("<div>" * 5000 + SAID) == SAID
+
+
+def test_teasers_aside():
+    """Article elements in a sidebar do not keep it."""
+    teaser = "".join(f"<article><p>Read about topic {i}</p></article>" for i in range(3))
+    page = f'<main><article>{paragraphs(*LONGER)}</article></main><div class="sidebar">{teaser}</div><aside>{teaser}</aside>'
+    assert html_density.main_text(page) == " ".join(LONGER)
