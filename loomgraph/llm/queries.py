@@ -71,7 +71,7 @@ OP7_SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, coalesce('s' || source, 'n') AS key,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS place
+         CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS place
   FROM documents),
 per AS (
   SELECT key, CAST(sum(size) AS BIGINT) AS source_size,

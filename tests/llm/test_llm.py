@@ -168,6 +168,31 @@ def test_mix(spark, odd, nothing):
     assert mix_wfq.mix(nothing).collect() == [] and mix_wfq.mixed(nothing).collect() == []
 
 
+@pytest.mark.parametrize("few", [False, True])
+def test_mix_copies(spark, monkeypatch, few):
+    """A third of the rows are one document, and ids repeat with other texts: the mix has
+    exactly the copies that mix says; with many ranges and steps too."""
+    if few:
+        for name, n in (("RANGE", 3), ("STEPS", 5), ("ONE_BY_ONE", 4), ("SPREAD", 7)):
+            monkeypatch.setattr(mix_wfq, name, n)
+    rows = [(7, "one two three four", "a", i) for i in range(30)] + [(7, "another text of this id", "a", 0), (8, "x y", None, 0), (8, "x y", None, 0)]
+    rows += [(100 + i, "w " * (1 + i % 9), "abc"[i % 3], i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rows int").repartition(3)
+    got = mix_wfq.mix(docs).collect()
+    assert len(got) == len(rows) and all(r.taken in (0, r.size, 2 * r.size) for r in got)
+    total = sum(r.size for r in got)
+    assert abs(sum(r.taken for r in got) - 1.5 * total) <= 9
+    taken = collections.Counter()
+    for r in got:
+        taken[r.target] += r.taken
+    assert all(abs(n - t) <= 10 for t, n in taken.items())
+    whole = collections.Counter((r.doc_id, len(r.text.split())) for r in mix_wfq.mixed(docs).collect())
+    want = collections.Counter()
+    for r in got:
+        want[r.doc_id, r.size] += r.taken // r.size
+    assert whole == +want
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(400)] + [(400 + i, [0.5] * 8) for i in range(200)]
