@@ -5,7 +5,8 @@ document's vector is the mean of the embeddings of all its words' features, and
 softmax over it gives the classes. Embeddings and softmax are trained jointly, in
 numpy, by full-batch Adam on a bounded sample of labelled documents (`SAMPLE` of
 each class, the smallest md5 of the id). A misspelling that training never saw
-shares most of its n-grams with the word it stands for.
+shares most of its n-grams with the word it stands for, also one spelt with digits or
+signs for letters, as these are read as the letters they look like.
 
 The model is linear in the mean, so after training each bucket is one number, the
 difference of its logits; scoring adds these over a text's words. The table is of
@@ -15,7 +16,8 @@ words it has met. Labels, language, source and id are no inputs of a score.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,18 +28,24 @@ from pyspark.sql import functions as F
 from loomgraph.llm import vectext
 from loomgraph.llm.common import giving_back
 
-BUCKETS, GRAMS, SIZE = 1 << 20, (3, 4, 5), 4
+BUCKETS, GRAMS, SIZE = 1 << 20, (3, 4, 5), 8
 #: Labelled documents of each class, at most: toxic and not.
 SAMPLE = (2500, 6000)
 ROUNDS, RATE, SCALE, DECAY = 80, 0.1, 60.0, 0.01
 #: A feature is learned if words that hold it are in so many sampled documents; a
 #: tenth of the sample says when to stop.
 LEAST, CHECK = 3, 10
+#: Rounds without a better loss on that tenth before training ends.
+PATIENCE = 20
 #: Words whose features are worked out at once.
 CHUNK = 50_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-_SIGN = np.array([c < 128 and not chr(c).isalpha() for c in range(256)])
+#: Digits and signs that stand for a letter inside a word, and one that
+#: stands for any.
+LOOKS, ANY = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}, "*"
+_LOOK, _ENDS, _DIGITS = str.maketrans(LOOKS), "@$!*", "013457"
+_SIGN = np.array([c < 128 and not chr(c).isalpha() and chr(c) not in LOOKS and chr(c) != ANY for c in range(256)])
 _SPLIT = {c: " " for c in range(128) if _SIGN[c]} | _LOW
 
 
@@ -107,14 +115,20 @@ class Bag:
         return self._times(self.back, self.back_starts, self.back_value, x)
 
 
-def letters(text: str) -> list[str]:
-    """A text's words for this model: its runs of letters (anything but ASCII signs,
-    digits and white space), A-Z lowered."""
+def raw_words(text: str) -> list[str]:
+    """A text's runs of letters and of what may stand for one, A-Z lowered; some empty."""
     return text.translate(_SPLIT).split(" ")
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """The difference of logits of each bucket (NaN: not learned) and last the bias;
+def plain(word: str) -> str:
+    """A run as a word: signs off its ends, digits off its end, and what stands for a
+    letter as that letter, so 1d1ot is idiot; empty if no letter is in it."""
+    word = word.strip(_ENDS).rstrip(_DIGITS + _ENDS)
+    return word.translate(_LOOK) if any(c.isalpha() or c > "\x7f" for c in word) else ""
+
+
+def train(texts: list[str] | list[dict[str, int]], labels: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """texts: whole, or their runs of letters and how often each occurs. The difference of logits of each bucket (NaN: not learned) and last the bias;
     with one class only, no features and an extreme bias."""
     labels = np.asarray(labels, np.int64)
     nothing = np.append(np.full(BUCKETS, np.nan), 0.0)
@@ -122,9 +136,17 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS) -> np.ndar
         nothing[-1] = 50.0 if len(labels) and labels[0] else -50.0
         return nothing
     place: dict[str, int] = {}
+    known: dict[str, int] = {"": -1}  # of each run its word's place
     at, starts, often = [], [0], []
     for text in texts:
-        words, count = np.unique(np.array([place.setdefault(w, len(place)) for w in letters(text) if w], np.int32), return_counts=True)
+        runs = text if isinstance(text, dict) else Counter(raw_words(text))
+        for run in runs:
+            if run not in known:
+                word = plain(run)
+                known[run] = place.setdefault(word, len(place)) if word else -1
+        found, n = np.array([known[run] for run in runs], np.int32), np.fromiter(runs.values(), float, len(runs))
+        words, which = np.unique(found[found >= 0], return_inverse=True)
+        count = np.bincount(which, n[found >= 0], len(words))
         at.append(words)
         often.append(count)
         starts.append(starts[-1] + len(words))
@@ -147,7 +169,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS) -> np.ndar
         per_word.append(np.add.reduceat((bucket >= 0).astype(np.int64), bounds[:-1]))
         kept.append(bucket[bucket >= 0])
     bucket, per_word = np.concatenate(kept), np.concatenate(per_word)
-    del names, place, kept, spread
+    del names, place, known, kept, spread
     row = np.repeat(np.arange(len(labels)), np.diff(starts))
     total = np.maximum(np.bincount(row, often * per_word[at], len(labels)), 1)
     # words of one document only count in the mean: their n-grams are learned from others
@@ -167,7 +189,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS) -> np.ndar
     goal = np.eye(2, dtype=np.float32)[labels]
     held = np.arange(len(labels)) % CHECK == 0 if len(labels) >= 20 * CHECK else np.zeros(len(labels), bool)
     weight = (np.where(held, 0, 1) / max(1, (~held).sum())).astype(np.float32)[:, None]
-    best, out = np.inf, nothing
+    best, out, found = np.inf, nothing, 0
     for step in range(1, rounds + 1):
         mean = docs.times(words.times(p["e"])) * np.float32(SCALE)
         logit = mean @ p["w"] + p["b"]
@@ -179,9 +201,11 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS) -> np.ndar
         else:
             loss = -step
         if loss < best and step > 10:
-            best, out = loss, nothing.copy()
+            best, out, found = loss, nothing.copy(), step
             out[used] = p["e"] @ (p["w"][:, 1] - p["w"][:, 0]) * SCALE
             out[-1] = p["b"][1] - p["b"][0]
+        if held.any() and step > found + PATIENCE and step > 10 + PATIENCE:
+            break
         off = (soft - goal) * weight
         grad = {"w": mean.T @ off, "b": off.sum(axis=0), "e": words.back_times(docs.back_times(off @ p["w"].T * np.float32(SCALE))) + np.float32(DECAY / len(labels)) * p["e"]}
         for k in p:
@@ -212,13 +236,16 @@ class Scorer:
         if not len(new):
             return
         raw = data.tobytes()
-        words = [raw[a:b].decode("utf-8", "replace").translate(_LOW) for a, b in zip(first[new].tolist(), last[new].tolist(), strict=True)]
-        bucket, bounds = features(words)
+        words = [plain(raw[a:b].decode("utf-8", "replace").translate(_LOW)) for a, b in zip(first[new].tolist(), last[new].tolist(), strict=True)]
+        sums, counts = np.zeros(len(words)), np.zeros(len(words))  # runs without a letter count nothing
+        real = np.array([bool(w) for w in words])
+        if real.any():
+            bucket, bounds = features([w for w in words if w])
+            sums[real], counts[real] = np.add.reduceat(self.table[bucket], bounds[:-1]), np.add.reduceat(self.known[bucket].astype(float), bounds[:-1])
         keys = np.concatenate([self.keys, hashes[new]])
         order = np.argsort(keys)
         self.keys = keys[order]
-        self.sums = np.concatenate([self.sums, np.add.reduceat(self.table[bucket], bounds[:-1])])[order]
-        self.counts = np.concatenate([self.counts, np.add.reduceat(self.known[bucket].astype(float), bounds[:-1])])[order]
+        self.sums, self.counts = np.concatenate([self.sums, sums])[order], np.concatenate([self.counts, counts])[order]
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         hashes, bounds, starts, ends = vectext.words(data, offsets, _SIGN)
@@ -233,7 +260,8 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(mean + self.bias, -60, 60)))
 
 
-def _scoring(table: np.ndarray):
+def _scoring(table: np.ndarray, out: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]):
+    """out(batch, its scores) of each batch; a task remembers its words all along."""
     table = table.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,32 +269,51 @@ def _scoring(table: np.ndarray):
         for batch in batches:
             data, offsets = vectext.packed(batch.column("text"))
             found = [own.score(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in vectext.blocks(offsets)]
-            score = pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names if c != "text"], score], [*[c for c in batch.schema.names if c != "text"], "score"])
+            yield out(batch, np.concatenate(found) if found else np.zeros(0))
 
     return run
 
 
+def _with_score(batch: pa.RecordBatch, score: np.ndarray) -> pa.RecordBatch:
+    names = [c for c in batch.schema.names if c != "text"]
+    return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(score, pa.float64())], [*names, "score"])
+
+
 def fold(column, folds: int = 5):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def sample(docs: DataFrame, labels: DataFrame, held_out: int = 0, most: tuple[int, int] = SAMPLE) -> DataFrame:
-    """order, doc_id, text and toxic of the labelled documents to learn from, at most
-    `most` of each class."""
+def sample(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, most: tuple[int, int] = SAMPLE) -> DataFrame:
+    """order, text and toxic of the labelled documents to learn from, at most `most` of
+    each class; of rows that share an id the text with the smallest md5."""
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.where(fold("doc_id") != held_out) if held_out is not None else marked
     marked = marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     picked = [marked.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(n) for k, n in ((1, most[0]), (0, most[1]))]
     picked = picked[0].union(picked[1])  # at most sum(most) rows: small enough to broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(order.alias("order"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = rows.select("doc_id", "toxic", F.struct(F.md5(F.col("text").cast("binary")).alias("m"), F.col("text")).alias("t"))
+    return rows.groupBy("doc_id", "toxic").agg(F.min("t").alias("t")).select(order.alias("order"), F.col("t.text").alias("text"), "toxic")
+
+
+def _wording(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as their different words, each as often as it occurs: what training needs of
+    a text, however long it is."""
+    for batch in batches:
+        runs, counts = [], []
+        for text in batch.column("text").to_pylist():
+            found = Counter(raw_words(text))
+            found.pop("", None)
+            runs.append(list(found))
+            counts.append(list(found.values()))
+        yield pa.RecordBatch.from_arrays([batch.column("order"), pa.array(runs, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32())), batch.column("toxic")], ["order", "runs", "counts", "toxic"])
 
 
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     texts, labels = [], []
     for batch in batches:
-        texts += batch.column("text").to_pylist()
+        texts += [dict(zip(r, c, strict=True)) for r, c in zip(batch.column("runs").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
         labels += batch.column("toxic").to_pylist()
     table = train(texts, np.array(labels, np.int64))
     at = np.flatnonzero(~np.isnan(table))
@@ -276,7 +323,8 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learned(docs: DataFrame, labels: DataFrame, held_out: int | None = 0) -> np.ndarray:
     """The trained table. The sample, of bounded size, is trained on in one task, and
     only the buckets that were learned come to the driver."""
-    rows = sample(docs, labels, held_out).repartition(1).sortWithinPartitions("order", "doc_id").select("text", "toxic")
+    words = sample(docs, labels, held_out).mapInArrow(_wording, "order string, runs array<string>, counts array<int>, toxic int")
+    rows = words.repartition(1).sortWithinPartitions("order")
     found = rows.mapInArrow(giving_back(_training), "bucket int, weight double").toPandas()
     table = np.full(BUCKETS + 1, np.nan)
     table[found["bucket"]] = found["weight"]
@@ -291,24 +339,23 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Learns only from labelled documents whose crc32(doc_id as text) mod 5 is not 0.
     Null, empty and blank texts get the score of an empty mean, the bias. Labels
     that are null or of unknown documents are left out; of several for one id the
-    largest counts. With one class only, all scores are near that class. Extra
-    columns are ignored; no rows in, no rows out.
+    largest counts. With one class only, all scores are near that class. Very long
+    texts count whole; repeated rows get the same score. Extra columns are ignored; no
+    rows in, no rows out.
     """
     table = learned(docs, labels)
     rows = docs.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "text")
-    found = rows.mapInArrow(giving_back(_scoring(table)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
+    found = rows.mapInArrow(giving_back(_scoring(table, _with_score)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs without the rows whose score is the threshold or more."""
-    table = learned(docs, labels)
-    scoring = _scoring(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            only = pa.RecordBatch.from_arrays([batch.column("text")], ["text"])
-            found = next(scoring(iter([only]))).column("score")
-            yield batch.filter(pa.array(found.to_numpy() < threshold))
+    """docs without the rows whose score is the threshold or more.
 
-    return docs.mapInArrow(giving_back(run), docs.schema)
+    Learns from all labelled documents of docs. Null, empty and blank texts have the
+    score of an empty mean; rows that repeat go or stay together; ids may be null or
+    repeat; all columns come back, whatever their names. With labels of one class only
+    all rows or none stay; without labels, all. No rows in, no rows out.
+    """
+    table = learned(docs, labels)
+    return docs.mapInArrow(giving_back(_scoring(table, lambda batch, score: batch.filter(pa.array(score < threshold)))), docs.schema)

@@ -412,15 +412,27 @@ def test_toxicity(spark, odd, nothing):
         if bad:
             stem = ["grumblefuzz", "zzzwretch", "kwhixor"][rng.integers(3)]
             cut = int(rng.integers(0, len(stem)))
-            w[3] = stem if zlib.crc32(str(i).encode()) % 5 else stem[:cut] + "q" + stem[cut:]
-            w[20] = stem
+            odd_one = stem[:cut] + "q" + stem[cut:] if i % 2 else stem.translate(str.maketrans("oieas", "0134$")).upper() + "!!"
+            w[3] = stem if zlib.crc32(str(i).encode()) % 5 else odd_one
+            w[20] = w[3]
         rows.append((i, " ".join(w)))
         labels.append((i, 0, int(bad)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     marks = spark.createDataFrame([*labels, (5, 0, None), (None, 0, 1), (99999, 0, 1)], "doc_id long, quality int, toxic int")
-    got = toxicity.score(docs, marks).where("held_out").collect()
-    assert sum(r.predicted == (r.doc_id % 3 == 0) for r in got) / len(got) > 0.95
+    got = toxicity.score(docs, marks).collect()
+    got_all = {r.doc_id: r.score for r in got}
+    got = [r for r in got if r.held_out]
+    # held-out toxic texts have nothing but misspellings that training never saw
+    assert sum(r.predicted == (r.doc_id % 3 == 0) for r in got) / len(got) > 0.9
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert [toxicity.plain(x) for x in ("1d1ot", "f*ck", "sh1t!!", "***", "2", "$$$", "a55", "é")] == ["idiot", "f*ck", "shit", "", "", "", "a", "é"]
+    # scores by the formula: the mean of the learned features of all words
+    table = toxicity.learned(docs, marks)
+    for r in docs.limit(40).collect():
+        each = [table[:-1][toxicity.features([w])[0]] for w in map(toxicity.plain, toxicity.raw_words(r.text)) if w]
+        each = np.concatenate(each)[~np.isnan(np.concatenate(each))]
+        want = 1 / (1 + math.exp(-(each.mean() if len(each) else 0) - table[-1]))
+        assert abs(got_all[r.doc_id] - want) < 1e-4
     out = toxicity.score(odd, marks).collect()
     assert len(out) == len(ODD) and all(0 <= r.score <= 1 for r in out)
     kept = toxicity.keep_clean(docs, marks)
