@@ -4,23 +4,27 @@ Inner products become distances. With M the largest norm, a vector x gets one mo
 coordinate, sqrt(M^2 - |x|^2), and a query q gets 0 there; then |q - x|^2 = |q|^2 +
 M^2 - 2 q.x, so the nearest vectors have the highest products, in a metric space.
 
-The top of the tree is a fixed number of pivots, drawn from a bounded sample. Every
-vector goes to its nearest pivot, and the vectors of a pivot are dealt by a hash to
-as many shards as keep each within `SHARD` rows, so a vector that occurs thousands
-of times is spread. Each shard is an M-tree of pages: an entry has its routing
-object, its covering radius and its distance to the parent's object. A page is
-searched in order of the least distance anything in it can have; the stored
+The top of the tree is a layer of pivots, drawn from a bounded sample. Equal vectors
+count once, with the k + 1 smallest ids that any answer could need, so a vector that
+occurs thousands of times is one entry. Every vector goes to its nearest pivot, and
+the vectors of a pivot are dealt by a hash to as many shards as keep each within
+`SHARD` entries. Each shard is an M-tree of pages, built and written once: an entry has
+its routing object, its covering radius and its distance to the parent's object. A
+page is searched in order of the least distance anything in it can have; the stored
 distance to the parent rules entries out by the triangle inequality before their
 own distance is computed.
 
-Queries, in blocks of rows, first search one shard of their nearest pivot. What they
-find bounds the rest: they go on only to pivots whose ball can hold a product as
-high. Scores are sums of integers and exact; bounds have a margin for rounding.
+Queries go in blocks: those of a block that have to search a shard search its tree
+together, a page being read once for all of them, each with its own bound. They first
+search one shard of their nearest pivot; what they find bounds the rest, and they go
+on only to pivots whose ball can hold a product as high. Scores are sums of integers
+and exact; bounds have a margin for rounding.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch
+from loomgraph.llm.common import Scratch, giving_back
 
-PIVOTS, SAMPLE, SHARD, PAGE, FAN = 64, 4096, 4096, 64, 12
+#: Pivots (one for each shard's worth of vectors, within these limits), sampled vectors
+#: for each, entries of a shard and of a page, branches of a page, queries of a block.
+PIVOTS, SAMPLE, SHARD, PAGE, FAN, TOGETHER = (64, 1024), 64, 4096, 64, 12, 1024
 #: Margin of a bound against rounding, relative to the distances.
-MARGIN = 1e-9
+MARGIN = 1e-7
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -60,90 +66,124 @@ class MTree:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, top: float):
         """vectors: integers as floats; top: the square of the largest norm of all."""
         self.ids, self.flat, self.top = ids, vectors, top
-        norms = np.einsum("ij,ij->i", vectors, vectors)
-        self.x = np.column_stack([vectors, np.sqrt(np.maximum(top - norms, 0))])
-        self.root = self._load(np.arange(len(ids)), None)
+        x = _lifted(vectors, top)
+        self.root = self._load(x, np.arange(len(ids)), None)
 
-    def _apart(self, rows: np.ndarray, object_: int) -> np.ndarray:
-        return np.sqrt(np.maximum(((self.x[rows] - self.x[object_]) ** 2).sum(axis=1), 0))
-
-    def _load(self, rows: np.ndarray, parent: int | None) -> Page:
+    def _load(self, x: np.ndarray, rows: np.ndarray, parent: int | None) -> Page:
         """Bulk load: far-apart objects route, each row goes to the nearest."""
+        apart = lambda rows, one: np.sqrt(((x[rows] - x[one]) ** 2).sum(axis=1))
         if len(rows) <= PAGE:
-            return Page(rows, self._apart(rows, parent) if parent is not None else np.zeros(len(rows)))
+            return Page(rows, apart(rows, parent) if parent is not None else np.zeros(len(rows)))
         chosen = [int(rows[0])]
-        near = self._apart(rows, chosen[0])
+        near = apart(rows, chosen[0])
         whose = np.zeros(len(rows), np.int64)
         for _ in range(1, FAN):
             far = int(np.argmax(near))
             if near[far] <= 0:
                 break
             chosen.append(int(rows[far]))
-            d = self._apart(rows, chosen[-1])
+            d = apart(rows, chosen[-1])
             closer = d < near
             near[closer], whose[closer] = d[closer], len(chosen) - 1
         parts = [(c, rows[whose == i]) for i, c in enumerate(chosen)]
         if len(chosen) == 1:  # copies of one vector: pages of equal objects
             parts = [(chosen[0], rows[i : i + PAGE]) for i in range(0, len(rows), PAGE)]
         at = np.array([c for c, _ in parts])
-        radius = np.array([self._apart(r, c).max() for c, r in parts])
-        return Page(at, self._apart(at, parent) if parent is not None else np.zeros(len(at)), radius, [self._load(r, c) for c, r in parts])
-
-    def search(self, own: int, query: np.ndarray, k: int, least: float) -> list[tuple[int, int]]:
-        """The k best (score, id) but the query's own, if `least` or better."""
-        square = float(query @ query)
-        q = np.append(query, 0.0)
-        best: list[tuple[float, int]] = []  # a heap: the worst first; ids negated
-        reach = self._reach(square, least)
-        queue: list[tuple[float, int, Page, float | None]] = [(0.0, 0, self.root, None)]
+        radius = np.array([apart(r, c).max() for c, r in parts])
+        return Page(at, apart(at, parent) if parent is not None else np.zeros(len(at)), radius, [self._load(x, r, c) for c, r in parts])
+
+    def search(self, owns: np.ndarray, queries: np.ndarray, k: int, least: list) -> Iterator[tuple[int, int, int]]:
+        """(query's place, id, score) of the k best of each query but its own, if its
+        `least` (None: anything) or better. Also counts scores and distances computed."""
+        square = np.einsum("ij,ij->i", queries, queries)
+        best: list[list[tuple]] = [[] for _ in owns]  # heaps: the worst first; ids negated
+        least = [-np.inf if x is None else x for x in least]
+        reach = np.array([_reach(s, self.top, x) for s, x in zip(square, least, strict=True)])
+        self.scored = self.measured = 0
+        queue: list[tuple] = [(0.0, 0, self.root, np.arange(len(owns)), np.zeros(len(owns)), None)]
         count = 1
-        while queue and queue[0][0] <= reach:
-            _, _, page, to_parent = heapq.heappop(queue)
-            at = page.at
-            size = page.radius if page.radius is not None else 0.0
-            live = np.arange(len(at)) if to_parent is None else np.flatnonzero(np.abs(to_parent - page.to_parent) - size <= reach)
+        while queue:
+            _, _, page, live, bound, to_parent = heapq.heappop(queue)
+            fine = bound <= reach[live]
+            live = live[fine]
             if not len(live):
                 continue
+            at, size = page.at, page.radius if page.radius is not None else np.zeros(len(page.at))
+            open_ = np.ones((len(live), len(at)), bool)
+            if to_parent is not None:
+                open_ = np.abs(to_parent[fine][:, None] - page.to_parent) - size <= reach[live][:, None]
+            entries = np.flatnonzero(open_.any(axis=0))
+            if not len(entries):
+                continue
             if page.below is None:
-                scores = self.flat[at[live]] @ query
-                for score, i in zip(scores.tolist(), self.ids[at[live]].tolist(), strict=True):
-                    if i == own or score < least:
-                        continue
-                    if len(best) < k:
-                        heapq.heappush(best, (score, -i))
-                    elif (score, -i) > best[0]:
-                        heapq.heapreplace(best, (score, -i))
-                if len(best) == k and best[0][0] > least:
-                    least = best[0][0]
-                    reach = self._reach(square, least)
+                scores = _products(queries[live], self.flat[at[entries]], self.top)
+                self.scored += int(open_.sum())
+                floor = np.array([least[q] for q in live], scores.dtype if scores.dtype == object else float)
+                for i in np.flatnonzero((open_[:, entries] & (scores >= floor[:, None])).any(axis=1)).tolist():
+                    q = int(live[i])
+                    for j in np.flatnonzero(open_[i, entries] & (scores[i] >= least[q])).tolist():
+                        found = (int(scores[i, j]), -int(self.ids[at[entries[j]]]))
+                        if -found[1] == owns[q]:
+                            continue
+                        if len(best[q]) < k:
+                            heapq.heappush(best[q], found)
+                        elif found > best[q][0]:
+                            heapq.heapreplace(best[q], found)
+                    if len(best[q]) == k and best[q][0][0] > least[q]:
+                        least[q] = best[q][0][0]
+                        reach[q] = _reach(square[q], self.top, least[q])
                 continue
-            apart = np.sqrt(((self.x[at[live]] - q) ** 2).sum(axis=1))
-            for j, d in zip(live.tolist(), apart.tolist(), strict=True):
-                bound = max(0.0, d - page.radius[j])
-                if bound <= reach:
-                    heapq.heappush(queue, (bound, count, page.below[j], d))
+            self.measured += int(open_.sum())
+            apart = np.sqrt(np.maximum(square[live][:, None] + self.top - 2 * (queries[live] @ self.flat[at[entries]].T), 0))
+            for j, e in enumerate(entries.tolist()):
+                near = np.maximum(apart[:, j] - size[e], 0)
+                goes = open_[:, e] & (near <= reach[live])
+                if goes.any():
+                    heapq.heappush(queue, (float(near[goes].min()), count, page.below[e], live[goes], near[goes], apart[goes, j]))
                     count += 1
-        return [(int(s), -i) for s, i in best]
+        for q, found in enumerate(best):
+            yield from ((q, -i, score) for score, i in found)
+
+
+def _lifted(vectors: np.ndarray, top: float) -> np.ndarray:
+    """Vectors with the coordinate that gives all the same norm."""
+    return np.column_stack([vectors, np.sqrt(np.maximum(top - np.einsum("ij,ij->i", vectors, vectors), 0))])
+
 
-    def _reach(self, square: float, least: float) -> float:
-        """The distance at which a product of `least` lies."""
-        if least == -np.inf:
-            return np.inf
-        return np.sqrt(max(square + self.top - 2 * least, 0)) * (1 + MARGIN) + MARGIN * (1 + np.sqrt(self.top))
+def _reach(square: float, top: float, least: float) -> float:
+    """The distance at which a product of `least` lies."""
+    if least == -np.inf:
+        return np.inf
+    return float(np.sqrt(max(square + top - 2 * float(least), 0)) + MARGIN * (1 + np.sqrt(square + top)))
+
+
+def _products(a: np.ndarray, b: np.ndarray, top: float) -> np.ndarray:
+    """All inner products, exact: as floats while these hold every integer that may
+    occur, else as Python's integers."""
+    if top < 2**52:
+        return a @ b.T
+    whole = np.vectorize(int, otypes=[object])
+    return whole(a) @ whole(b).T
 
 
 def _vectors(column: pa.Array, width: int) -> np.ndarray:
+    """A column of lists as rows of a matrix; shorter ones end in zeros."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    sizes = np.diff(column.offsets.to_numpy())
+    if (sizes == width).all():
+        return flat.reshape(len(column), width)
     out = np.zeros((len(column), width))
-    for i, v in enumerate(column.to_pylist()):
-        out[i, : len(v)] = v
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     return out
 
 
 def pivots_of(sample: np.ndarray, n: int, top: float) -> np.ndarray:
-    """Up to n far-apart rows of the sample, with the extra coordinate."""
-    x = np.column_stack([sample, np.sqrt(np.maximum(top - (sample**2).sum(axis=1), 0))])
-    if not len(x):
-        return x
+    """Up to n far-apart rows of the sample."""
+    if not len(sample):
+        return sample
+    x = _lifted(sample, top)
     chosen, near = [0], ((x - x[0]) ** 2).sum(axis=1)
     while len(chosen) < min(n, len(x)):
         far = int(np.argmax(near))
@@ -151,69 +191,97 @@ def pivots_of(sample: np.ndarray, n: int, top: float) -> np.ndarray:
             break
         chosen.append(far)
         near = np.minimum(near, ((x - x[far]) ** 2).sum(axis=1))
-    return x[chosen]
+    return sample[chosen]
 
 
 def _nearest(pivots: np.ndarray, width: int, top: float):
+    lifted = _lifted(pivots, top) if len(pivots) else np.zeros((0, width + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1024):
+                batch = whole.slice(first, 1024)
+                x = _lifted(_vectors(batch.column("vec"), width), top)
+                apart = 2 * top - 2 * (x @ lifted.T)  # all have the norm `top`
+                which = apart.argmin(axis=1)
+                near = np.sqrt(((x - lifted[which]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(which, pa.int32()), pa.array(near)], [*batch.schema.names, "pivot", "apart"])
+
+    return run
+
+
+def _growing(width: int, top: float):
+    """Rows sorted by shard to one tree for each."""
+
+    def grown(key: tuple, ids: list, vectors: list) -> pa.RecordBatch:
+        tree = MTree(np.array(ids, np.int64), np.concatenate(vectors), top)
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([pickle.dumps(tree)], pa.binary())], ["pivot", "salt", "tree"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, vectors = None, [], []
         for batch in batches:
-            v = _vectors(batch.column("vec"), width)
-            x = np.column_stack([v, np.sqrt(np.maximum(top - (v**2).sum(axis=1), 0))])
-            apart = np.array([np.sqrt(((pivots - row) ** 2).sum(axis=1)) for row in x]).reshape(len(x), len(pivots))
-            which = apart.argmin(axis=1) if len(x) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vec"), pa.array(which, pa.int32()), pa.array(apart[np.arange(len(x)), which] if len(x) else [], pa.float64())], ["vec_id", "vec", "pivot", "apart"])
+            x = np.repeat(_vectors(batch.column("vec"), width), batch.column("copies").to_numpy(), axis=0)
+            names = np.repeat(batch.column("vec_id").to_numpy(), batch.column("copies").to_numpy())
+            keys = np.repeat(np.column_stack([batch.column("pivot").to_numpy(), batch.column("salt").to_numpy()]), batch.column("copies").to_numpy(), axis=0)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if key is not None and key != tuple(keys[a]):
+                    yield grown(key, ids, vectors)
+                    ids, vectors = [], []
+                key = tuple(keys[a].tolist())
+                ids += names[a:b].tolist()
+                vectors.append(x[a:b])
+        if ids:
+            yield grown(key, ids, vectors)
 
     return run
 
 
+ASKED = "pivot int, query_ids array<long>, least array<long>, vecs binary"
+
+
 def _routing(pivots: np.ndarray, radius: np.ndarray, width: int, top: float, first: bool):
-    """Rows (vec_id, vec, least) to the pivots they have to search: the nearest one
-    first; then all whose ball can hold `least`."""
+    """Queries (vec_id, vec, least) to blocks for the pivots they have to search: the
+    nearest one first; then all whose ball can hold `least`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = _vectors(batch.column("vec"), width)
-            least = batch.column("least").to_numpy(zero_copy_only=False).astype(float)
-            rows, to = [], []
-            for i, q in enumerate(v):
-                apart = np.sqrt(((pivots - np.append(q, 0.0)) ** 2).sum(axis=1))
-                bound = np.maximum(apart - radius, 0)
+        for whole in batches:
+            for begin in range(0, whole.num_rows if len(pivots) else 0, TOGETHER):
+                batch = whole.slice(begin, TOGETHER)
+                v, ids, least = _vectors(batch.column("vec"), width), batch.column("vec_id").to_pylist(), batch.column("least").to_pylist()
+                square = np.einsum("ij,ij->i", v, v)
+                bound = np.maximum(np.sqrt(np.maximum(square[:, None] + top - 2 * (v @ pivots.T), 0)) - radius, 0)
+                bound[:, radius < 0] = np.inf  # a pivot without vectors
                 if first:
-                    found = [int(bound.argmin())] if len(pivots) else []
+                    goes = np.zeros(bound.shape, bool)
+                    goes[np.arange(len(v)), bound.argmin(axis=1)] = True
                 else:
-                    reach = np.inf if np.isnan(least[i]) else np.sqrt(max(q @ q + top - 2 * least[i], 0)) * (1 + MARGIN) + MARGIN * (1 + np.sqrt(top))
-                    found = np.flatnonzero((bound <= reach) & (radius >= 0)).tolist()
-                rows += [i] * len(found)
-                to += found
-            taken = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(to, pa.int32())], [*taken.schema.names, "pivot"])
+                    reach = np.array([_reach(s, top, -np.inf if x is None else x) for s, x in zip(square, least, strict=True)])
+                    goes = (bound <= reach[:, None]) & (radius >= 0)
+                for p in np.flatnonzero(goes.any(axis=0)).tolist():
+                    at = np.flatnonzero(goes[:, p]).tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([[ids[i] for i in at]], pa.list_(pa.int64())), pa.array([[least[i] for i in at]], pa.list_(pa.int64())), pa.array([v[at].tobytes()], pa.binary())], ["pivot", "query_ids", "least", "vecs"])
 
     return run
 
 
-def _searching(width: int, top: float, k: int):
-    """Rows sorted by shard, its vectors (kind 0) before its queries (kind 1)."""
+def _searching(width: int, k: int):
+    """Rows sorted by shard, its tree before the blocks of queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids, vectors, tree = None, [], [], None
+        tree, shard = None, None
         for batch in batches:
-            keys = list(zip(batch.column("pivot").to_pylist(), batch.column("salt").to_pylist(), strict=True))
-            kinds, names = batch.column("kind").to_pylist(), batch.column("vec_id").to_pylist()
-            least = batch.column("least").to_pylist()
-            x = _vectors(batch.column("vec"), width)
-            out: list[tuple[int, int, int]] = []
-            for i, key in enumerate(keys):
-                if key != shard:
-                    shard, ids, vectors, tree = key, [], [], None
-                if kinds[i] == 0:
-                    ids.append(names[i])
-                    vectors.append(x[i])
+            for pivot, salt, ids, least, vecs, own in zip(*(batch.column(c).to_pylist() for c in ("pivot", "salt", "query_ids", "least", "vecs", "tree")), strict=True):
+                if own is not None:
+                    tree, shard = pickle.loads(own), (pivot, salt)
+                    continue
+                if (pivot, salt) != shard:
                     continue
-                if tree is None:
-                    tree = MTree(np.array(ids, np.int64), np.array(vectors).reshape(len(ids), width), top)
-                bound = -np.inf if least[i] is None else float(least[i])
-                out += [(names[i], j, s) for s, j in tree.search(names[i], x[i], k, bound)] if ids else []
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], [], []))], ["query_id", "vec_id", "score"])
+                found = list(tree.search(np.array(ids), np.frombuffer(vecs).reshape(len(ids), width), k, least))
+                rows = [(ids[q], i, max(-(2**63), min(s, 2**63 - 1))) for q, i, s in found]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ([], [], []))], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -227,44 +295,44 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: float = 1024
     non-finite component, or whose id is null, take no part; shorter vectors count as
     if zeros followed. Of rows that share a query's id the first gives the query;
     repeated rows are candidates each. With fewer candidates than k all come; an empty table gives no rows.
-    Norms above 2^26 are refused: their products would not be exact.
+    Components beyond a long, and scores, are taken as the nearest long.
     """
     scratch = Scratch(vectors.sparkSession, "mtree")
     rows = vectors.where(F.col("vec_id").isNotNull() & usable()).select(F.col("vec_id").cast("long").alias("vec_id"), scaled(by=scale).alias("vec"))
-    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x.cast("double"))
-    width, top = rows.agg(F.max(F.size("vec")), F.max(square)).first()
+    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    # of equal vectors the k + 1 smallest ids, each at most k times, hold all that any query needs
+    kinds = rows.groupBy("vec", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("copies"))
+    place = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
+    kinds = scratch.table(kinds.withColumn("place", place).where(F.col("place") <= k + 1).drop("place"), "kinds")
+    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    width, top, n = kinds.agg(F.max(F.size("vec")), F.max(square), F.count(F.lit(1))).first()
     width, top = max(width or 0, 1), float(top or 0)
-    if top > 2**52:
-        raise ValueError("vectors too long for exact products")
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("vec").limit(SAMPLE).toPandas()["vec"].tolist()
-    sample = np.zeros((len(drawn), width))
-    for i, v in enumerate(drawn):
-        sample[i, : len(v)] = v
-    pivots = pivots_of(sample, PIVOTS, top)
-    homes = scratch.table(rows.mapInArrow(_nearest(pivots, width, top), "vec_id long, vec array<long>, pivot int, apart double"), "homes")
-    stats = homes.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("apart").alias("radius"))
+    many = max(PIVOTS[0], min(PIVOTS[1], n // SHARD))
+    drawn = kinds.orderBy(F.xxhash64("vec_id"), "vec_id").select("vec").limit(SAMPLE * many).toArrow()
+    pivots = pivots_of(_vectors(drawn.column("vec"), width) if len(drawn) else np.zeros((0, width)), many, top)
+    homes = scratch.table(kinds.mapInArrow(_nearest(pivots, width, top), "vec array<long>, vec_id long, copies long, pivot int, apart double"), "homes")
+    stats = homes.groupBy("pivot").agg(F.sum("copies").alias("n"), F.max("apart").alias("radius"))
     radius, salts = np.full(len(pivots), -1.0), np.ones(max(len(pivots), 1), np.int64)
-    for r in stats.collect():  # at most PIVOTS rows
-        radius[r["pivot"]], salts[r["pivot"]] = r["radius"], -(-r["n"] // SHARD)
+    for r in stats.collect():  # a row for each pivot
+        radius[r["pivot"]], salts[r["pivot"]] = r["radius"] + MARGIN * (1 + np.sqrt(2 * top)), -(-r["n"] // SHARD)
     shares = F.element_at(F.array(*[F.lit(int(s)) for s in salts]), F.col("pivot") + 1)
-    none = F.lit(None).cast("long")
-    stored = homes.select("pivot", F.pmod(F.xxhash64("vec_id"), shares).cast("int").alias("salt"), F.lit(0).alias("kind"), "vec_id", "vec", none.alias("least"))
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).withColumn("least", none)
-    routed = "vec_id long, vec array<long>, least long, pivot int"
-    n = int(salts.sum()) * 2
+    shards = int(salts.sum())
+    stored = homes.withColumn("salt", F.pmod(F.xxhash64("vec_id"), shares).cast("int"))
+    stored = stored.repartition(shards, "pivot", "salt").sortWithinPartitions("pivot", "salt", "vec_id")
+    trees = scratch.table(stored.mapInArrow(giving_back(_growing(width, top)), "pivot int, salt int, tree binary"), "trees")
 
     def searched(asked: DataFrame, name: str) -> DataFrame:
-        both = stored.unionByName(asked.select("pivot", "salt", F.lit(1).alias("kind"), "vec_id", "vec", "least"))
-        both = both.repartition(n, "pivot", "salt").sortWithinPartitions("pivot", "salt", "kind", "vec_id")
-        return scratch.table(both.mapInArrow(_searching(width, top, k), FOUND), name)
+        both = trees.unionByName(asked.select("pivot", "salt", "query_ids", "least", "vecs"), allowMissingColumns=True)
+        both = both.repartition(shards, "pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("tree").isNull())
+        return scratch.table(both.mapInArrow(giving_back(_searching(width, k)), FOUND), name)
 
-    first = queries.mapInArrow(_routing(pivots, radius, width, top, True), routed)
-    first = scratch.table(first.withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit(1)), shares).cast("int")), "first")
+    one = F.pmod(F.xxhash64("pivot"), shares).cast("int")  # the shard of a pivot that is searched first
+    route = lambda rows, first: rows.mapInArrow(_routing(pivots, radius, width, top, first), ASKED)
+    first = scratch.table(route(queries.withColumn("least", F.lit(None).cast("long")), True).withColumn("salt", one), "first")
     near = searched(first, "near")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     bound = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
-    again = queries.drop("least").join(bound, "vec_id", "left").select("vec_id", "vec", "least").mapInArrow(_routing(pivots, radius, width, top, False), routed)
+    again = route(queries.join(bound, "vec_id", "left").select("vec_id", "vec", "least"), False)
     again = again.withColumn("salt", F.explode(F.sequence(F.lit(0), (shares - 1).cast("int"))))
-    again = again.join(first.select("vec_id", "pivot", "salt"), ["vec_id", "pivot", "salt"], "left_anti")
-    found = near.unionByName(searched(again, "rest"))
+    found = searched(again, "rest")  # the first shards too: their rows come again, with the bound
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -212,13 +212,31 @@ def test_top_k(spark):
 
 
 def test_tree_prunes():
+    """Alone and together; in clusters the bounds leave most vectors unread."""
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.integers(-5, 5, (500, 6)) + 300 * np.eye(6)[i] for i in range(6)]).astype(float)
     tree = topk_mtree.MTree(np.arange(len(x)), x, float((x**2).sum(axis=1).max()))
-    for q in x[:: 300]:
-        got = sorted(tree.search(-1, q, 5, -np.inf), key=lambda p: (-p[0], p[1]))
-        s = x @ q
-        assert got == [(int(s[i]), int(i)) for i in np.lexsort((np.arange(len(x)), -s))[:5]]
+    queries = x[::300]
+    for block in ([q[None] for q in queries], [queries]):
+        got = []
+        for q in block:
+            got += [sorted(((s, i) for p, i, s in tree.search(np.full(len(q), -1), q, 5, [None] * len(q)) if p == j), key=lambda r: (-r[0], r[1])) for j in range(len(q))]
+            assert tree.scored < 0.4 * len(x) * len(q)
+        for q, own in zip(queries, got, strict=True):
+            s = x @ q
+            assert own == [(int(s[i]), int(i)) for i in np.lexsort((np.arange(len(x)), -s))[:5]]
+
+
+def test_top_k_large_numbers(spark):
+    """Products beyond what a float holds exactly are exact; beyond a long, the nearest."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.integers(1 << 18, 1 << 19, 4)]) for i in range(30)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    order = sorted((-sum(a * b for a, b in zip(ints[0], ints[i], strict=True)), i) for i in range(1, 30))[:10]
+    assert [(r.vec_id, r.score) for r in topk_mtree.top_k(table).orderBy("rank").collect()] == [(i, -s) for s, i in order]
+    huge = spark.createDataFrame([(0, [1e10]), (1, [1e10]), (2, [-1e10])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk_mtree.top_k(huge).orderBy("rank").collect()] == [(1, 2**63 - 1), (2, -(2**63))]
 
 
 class Trigrams:
