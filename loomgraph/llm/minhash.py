@@ -45,6 +45,8 @@ ROWS, MISS = 5, 1e-7
 UNIVERSE = 1 << 22
 #: Sets that are compared in one task, and shingles in them.
 BLOCK_SETS, BLOCK_SHINGLES = 4096, 2_000_000
+#: Classes that are compared with one hub in a task.
+STAR = 256
 #: Rounds of stars: the first settles nearly all that stars can.
 ROUNDS = 1
 _table: dict[int, np.ndarray] = {}
@@ -293,7 +295,7 @@ def _stars(held: DataFrame, sets: DataFrame, threshold: int, turn: int, scratch:
     held = scratch.table(lookup(held, hubs, "bucket", "n", ["cid"]).where("n is not null").select("bucket", "cid", "label", "hub"), f"mixed-{turn}")
     ties = scratch.table(held.where("label <> hub.label").select("cid", F.col("hub.cid").alias("hub")).distinct(), f"ties-{turn}")
     shares = scratch.table(ties.groupBy("hub").agg(F.count(F.lit(1)).alias("members")), f"shares-{turn}")
-    parts = F.ceil(F.col("members") / BLOCK_SETS).cast("int")
+    parts = F.ceil(F.col("members") / STAR).cast("int")
     members = lookup(ties, shares, "hub", "members", ["cid"]).select("hub", "cid", F.pmod(F.xxhash64("cid"), parts).cast("int").alias("part"), F.lit(1).alias("kind"))
     own = shares.select("hub", F.col("hub").alias("cid"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("kind"))
     both = members.unionByName(own).join(sets, "cid")

@@ -28,7 +28,7 @@ BUDGET = 1.5
 COPIES = 2
 #: Bits of the shuffle hash; items of a range, about; parts of an interval of finish
 #: time, and rows that are ordered in one task.
-HASH_BITS, RANGE, STEPS, ONE_BY_ONE = 60, 4096, 4096, 100_000
+HASH_BITS, RANGE, STEPS, ONE_BY_ONE = 60, 1024, 4096, 100_000
 #: Rows of one item that one task makes.
 SPREAD = 1_000_000
 
