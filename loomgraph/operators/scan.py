@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from loomgraph.sources.scratch import Scratch
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, a scan, for work that costs far more than reading. A table of less than a
+    full split for each core may lie in fewer row groups than there are cores, each of
+    them one task: it is dealt anew. Larger tables stay as they are, so no more than
+    that size is ever shuffled."""
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * split else rows
+
+
 def prefix_sums(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     """Adds the sum of `value` over all rows before each, in `order` (which tells all
     rows apart). rows should be narrow: they are dealt by range and written once.
@@ -26,7 +38,7 @@ def prefix_sums(rows: DataFrame, order: list[str], value: str, name: str) -> Dat
 
 
 #: Minors that one window of running_total may hold.
-RUN = 10_000
+RUN = 250
 
 
 def running_total(rows: DataFrame, major: str, minor: str, value: str, name: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators import extraction, graph, walks
+from loomgraph.operators.scan import spread
 from loomgraph.sources import completions
 from loomgraph.sources.scratch import Scratch
 
@@ -38,10 +39,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as corpus records; some have a title, some no id."""
     d = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.lit(0).alias("file_seq"), d.alias("line_no"), "text", "source",
         F.when(d % 3 == 0, F.concat(F.lit("Doc "), d.cast("string"))).otherwise("").alias("title"),
         F.when(d % 5 != 0, d.cast("string")).alias("base_id"),
@@ -50,7 +55,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as one chunk each."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return docs.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("id"), "text", F.lit("").alias("title"), "source", F.col("doc_id").alias("chunk_seq"))
 
 

@@ -45,13 +45,13 @@ def _joined(c: str):
 
 @query(sql.CHUNK_WORDS)
 def chunk_words(spark, sf_dir):
-    docs = fx.table(spark, sf_dir, "documents")
+    docs = fx.documents(spark, sf_dir)
     return docs.select("doc_id", F.posexplode(text.windows(text.words(F.col("text")), 128, 16)).alias("i", "piece"))
 
 
 @query(sql.CHUNK_COUNTS)
 def chunk_counts_by_lang(spark, sf_dir):
-    docs = fx.table(spark, sf_dir, "documents").select("lang", F.size(text.windows(text.words(F.col("text")))).alias("n"))
+    docs = fx.documents(spark, sf_dir).select("lang", F.size(text.windows(text.words(F.col("text")))).alias("n"))
     return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("chunks"))
 
 
@@ -67,14 +67,14 @@ def chunk_emit_titles(spark, sf_dir):
 
 @query(sql.BLANK)
 def blank_filter(spark, sf_dir):
-    docs = fx.table(spark, sf_dir, "documents")
+    docs = fx.documents(spark, sf_dir)
     spoiled = F.when(F.col("doc_id") % 7 == 0, " \t　\n").otherwise(F.col("text"))
     return docs.select("doc_id", spoiled.alias("text")).where(~text.is_blank(F.col("text"))).select("doc_id")
 
 
 def _lines(spark, sf_dir):
     """A JSONL line of each document, of eight kinds."""
-    docs = fx.table(spark, sf_dir, "documents")
+    docs = fx.documents(spark, sf_dir)
     kind, own = F.col("doc_id") % 8, F.concat(F.lit("t"), F.col("doc_id").cast("string"))
     put = lambda **k: F.to_json(F.struct(*[v.alias(n) for n, v in k.items()]))
     line = (
@@ -139,7 +139,7 @@ def parse_relationships(spark, sf_dir):
 @query(sql.GLEAN)
 def glean_concat_parse(spark, sf_dir):
     """A first turn that ends in the marker, and a continuation glued to it."""
-    rows = fx.table(spark, sf_dir, "documents").select(F.concat(F.lit("c"), "doc_id").alias("chunk_id"), F.col("doc_id").alias("chunk_seq"))
+    rows = fx.documents(spark, sf_dir).select(F.concat(F.lit("c"), "doc_id").alias("chunk_id"), F.col("doc_id").alias("chunk_seq"))
     turns = F.array(F.lit('("entity"<|>A<|>model<|>first)##("entity"<|>B<|>model<|>second)\n<|COMPLETE|>'), F.lit('("entity"<|>C<|>model<|>glued)##("entity"<|>\'"D"\'<|>model<|>kept)##'))
     rows = rows.select("chunk_id", "chunk_seq", extraction.join_turns(turns, 1).alias("result"))
     return extraction.entities(extraction.parse(rows)).select("source_id", "title", "type", "description")
