@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -116,6 +117,64 @@ ranked AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+OP8_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS row_no, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT row_no, doc_id,
+         CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+              ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s
+  FROM words),
+classes AS (
+  SELECT row_number() OVER () AS class, same.* FROM (
+    SELECT list_sort(s) AS s, min(doc_id) AS first FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)) AS same),
+items AS (SELECT class, len(s) AS n, unnest(s) AS x FROM classes),
+links AS (
+  SELECT a.class AS a, b.class AS b
+  FROM items AS a JOIN items AS b ON a.x = b.x AND a.class < b.class AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.class, b.class, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT class AS a, class AS b FROM classes
+  UNION
+  SELECT r.a, l.b FROM reach AS r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) AS l ON r.b = l.a),
+named AS (SELECT r.a AS class, min(c.first) AS component FROM reach AS r JOIN classes AS c ON r.b = c.class GROUP BY r.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(n.component, s.doc_id) AS component_id,
+       s.doc_id = coalesce(n.component, s.doc_id) AS kept
+FROM sets AS s LEFT JOIN classes AS c ON list_sort(s.s) = c.s LEFT JOIN named AS n ON c.class = n.class
+"""
+
+
+def _spans_sql(number: int, rule: secret_scan.Rule) -> str:
+    """The spans of one rule: row_no, k, kind, s (its start), m (its text). A start is the
+    length of all matches before and all gaps up to it."""
+    either = lambda m: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in m[1])  # noqa: E731  (RE2 folds beyond ASCII)
+    pattern = "'" + re.sub(r"\(\?i:([^)]*)\)", either, rule.pattern).replace("'", "''") + "'"
+    counted = f"regexp_extract(ms[j], {pattern}, {rule.group})"
+    return f"""
+  SELECT row_no, {number} AS k, '{rule.kind}' AS kind, ms[j] AS m,
+         CAST(list_sum(list_transform(gaps[1:j], lambda x: length(x)))
+            + coalesce(list_sum(list_transform(ms[1:j - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS j FROM (
+    SELECT row_no, regexp_extract_all(t, {pattern}) AS ms, regexp_split_to_array(t, {pattern}) AS gaps
+    FROM texts WHERE regexp_matches(t, {pattern})))
+  WHERE length({counted}) >= {rule.least}"""
+
+
+OP6_SQL = f"""
+WITH texts AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({"  UNION ALL".join(_spans_sql(i, r) for i, r in enumerate((*secret_scan.BASE, *secret_scan.MORE)))}),
+named AS (SELECT row_no, k, s, kind || ':' || s || ':' || (s + length(m)) AS name FROM found),
+per AS (
+  SELECT row_no, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c,
+         string_agg(name, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(name, ',' ORDER BY s, k) AS spans
+  FROM named GROUP BY row_no)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN per USING (row_no)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mtree_topk": op1_mtree_topk,
     "op2_toxicity": op2_toxicity,
@@ -128,4 +187,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {"op1_mtree_topk": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op7_mix_sources": OP7_SQL}
+ORACLES: dict[str, str] = {
+    "op1_mtree_topk": OP1_SQL,
+    "op4_exact_dedup": OP4_SQL,
+    "op6_secret_scan": OP6_SQL,
+    "op7_mix_sources": OP7_SQL,
+    "op8_minhash": OP8_SQL,
+}
