@@ -31,7 +31,7 @@ def chunk(records: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
     """
     title = F.coalesce("title", F.lit(""))
     n = window_count(word_count(F.col("text")), size, overlap)
-    rows = records.select("file_seq", "line_no", "source", title.alias("title"), "base_id", "text", n.alias("n")).where("n > 0")
+    rows = records.select("file_seq", "line_no", "source", title.alias("title"), "base_id", "text", n.alias("n"))  # blank ones explode to nothing; a filter would count words again
     rows = running_total(rows, "file_seq", "line_no", "n", "base")
     rows = rows.select("source", "title", "base_id", "n", "base", F.posexplode(windows(words(F.col("text")), size, overlap)).alias("i", "piece"))
     seq = F.col("base") + F.col("i")
