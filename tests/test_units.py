@@ -44,6 +44,19 @@ def test_parse(spark):
     assert extraction.entities(parse(spark, None)).collect() == []
 
 
+def test_one_pass(spark):
+    """Fields are cleaned in one pass over a completion, not by regular expressions for
+    each of them, and the lists of a group are gathered once."""
+    out = '\u3000("entity"<|>\'"A"\'<|> m\x1c<|>)\n##\n(##()##x##("relationship"<|>"A"<|>B\x85<|>why<|>7 )'
+    found = parse(spark, out)
+    assert [(r.rec_seq, r.parts) for r in found.collect()] == [(0, ["entity", '"A"', "m", ""]), (3, ["x"]), (4, ["relationship", "A", "B", "why", "7"])]
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
+    plan = extraction.merge_entities(extraction.entities(found))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 1
+    many = "##".join(f"(entity<|>T{i}<|>m<|>d)" for i in range(2 * extraction.HELD + 1))
+    assert [r.rec_seq for r in parse(spark, many).orderBy("rec_seq").collect()] == list(range(2 * extraction.HELD + 1))
+
+
 def test_collapse(spark):
     rows = [("A", "B", ["x"], ["1"], 5.0, (1, 0)), ("B", "A", ["y"], ["2"], 2.0, (2, 0)), ("A", "C", ["z"], ["1"], 0.5, (3, 0)), ("D", "D", ["s"], ["1"], 9.0, (4, 0))]
     rels = spark.createDataFrame(rows, "source string, target string, description array<string>, text_unit_ids array<string>, weight double, first_seq struct<chunk_seq:long,rec_seq:long>")
