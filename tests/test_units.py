@@ -75,6 +75,22 @@ def test_hop_odds(spark):
     assert abs(far / 8000 - 0.75) < 0.02
 
 
+def test_few_walks_go_to_neighbours(spark, monkeypatch):
+    """Steps of few walks do not deal the neighbours anew; of many they do. Same walks."""
+    from loomgraph.sources.scratch import Scratch
+
+    nodes = spark.createDataFrame([(f"n{i}", [f"c{i % 3}"]) for i in range(9)], "name string, text_unit_ids array<string>")
+    adj = spark.createDataFrame([(f"n{i}", f"n{(i + k) % 9}", 1.0, f"c{(i + k) % 9 % 3}") for i in range(9) for k in (1, 2, 4)], "a string, b string, weight double, b_chunk string")
+    starts = spark.range(20).select(F.col("id").alias("cand"), F.concat(F.lit("n"), F.col("id") % 9).alias("start"))
+    seen, found, whole = [], [], walks.hop
+    monkeypatch.setattr(walks, "hop", lambda front, adj, i, cfg, few=False: seen.append(few) or whole(front, adj, i, cfg, few))
+    for most in (walks.FEW, 39):
+        monkeypatch.setattr(walks, "FEW", most)
+        found.append(sorted(walks.attempts(starts, nodes, adj, 0, 2, walks.WalkConfig(), Scratch(spark, "few")).collect()))
+    assert found[0] == found[1] and len(found[0]) == 40
+    assert seen == [True] * 5 + [False] * 5
+
+
 def test_walks_hold(spark):
     names = [f"n{i}" for i in range(30)]
     nodes = spark.createDataFrame([(n, "T", [f"d{n}"], [f"c{i % 7}"], 1 + i % 3, i) for i, n in enumerate(names)], "name string, type string, description array<string>, text_unit_ids array<string>, frequency long, node_ord int")
