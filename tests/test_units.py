@@ -145,3 +145,22 @@ def test_rendering(spark):
     assert plain.text == "### Human: hi\n\n### Assistant: yo</s>" and [plain.text[s.start : s.end] for s in plain.spans] == ["yo"]
     im = msgs.select(training.rendered(F.col("m"), "im").alias("r")).first().r
     assert im.text.startswith("<|im_start|>system\nYou are a helpful assistant.<|im_end|>\n<|im_start|>user\nhi") and [im.text[s.start : s.end] for s in im.spans] == ["yo"]
+
+
+def test_neighbours_are_read_once_a_hop(spark, monkeypatch):
+    """Few walks take all attempts, of more than one round, in one pass of hops; of more
+    than `ONCE`, later attempts follow the first. Same walks."""
+    nodes = spark.createDataFrame([(f"n{i}", "T", [f"d{i}"], [f"c{i % 2}"], 1 + i % 3, i) for i in range(24)], "name string, type string, description array<string>, text_unit_ids array<string>, frequency long, node_ord int")
+    pairs = sorted({tuple(sorted((f"n{i}", f"n{(i + k) % 24}"))) for i in range(24) for k in (1, 2)} - {("n3", "n4"), ("n3", "n5")})
+    edges = spark.createDataFrame([(a, b, 1.0 + i % 4, ["r"], ["c0"], i) for i, (a, b) in enumerate(pairs)], "u string, v string, weight double, description array<string>, text_unit_ids array<string>, edge_ord int")
+    cfg = walks.WalkConfig(num_walks=40, surplus=1.0, min_hops=5, max_hops=5, min_chunks_crossed=2, max_retries=3, seed=7)
+    hops, found, whole = [], [], walks.hop
+    monkeypatch.setattr(walks, "hop", lambda front, adj, i, cfg, few=False: hops.append(i) or whole(front, adj, i, cfg, few))
+    for most in (walks.ONCE, 0):
+        monkeypatch.setattr(walks, "ONCE", most)
+        found.append([tuple(w) for w in walks.generate(nodes, edges, cfg).collect()])
+        hops.append(None)
+    assert found[0] == found[1] and len(found[0]) == 40
+    assert hops[: hops.index(None)] == [1, 2, 3, 4, 5]
+    plan = walks.hop(spark.createDataFrame([(0, 0, 3, ["n1"], ["c1"], True)], "cand long, attempt int, target int, path array<string>, chunks array<string>, live boolean"), walks.adjacency(nodes, edges), 1, cfg)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 0
