@@ -164,3 +164,30 @@ def test_neighbours_are_read_once_a_hop(spark, monkeypatch):
     assert hops[: hops.index(None)] == [1, 2, 3, 4, 5]
     plan = walks.hop(spark.createDataFrame([(0, 0, 3, ["n1"], ["c1"], True)], "cand long, attempt int, target int, path array<string>, chunks array<string>, live boolean"), walks.adjacency(nodes, edges), 1, cfg)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") == 0
+
+
+def test_graph_is_dealt_once(spark, monkeypatch):
+    """Mentions to a graph: what merging, leaving out orphans and collapsing in turn give;
+    lists are gathered where the mentions were dealt to."""
+    from loomgraph.sources.scratch import Scratch
+
+    ents = spark.createDataFrame([(f"n{i % 5}", f"T{i % 3}", f"d{i}", f"c{i % 4}", i % 4, i) for i in range(40)], "title string, type string, description string, source_id string, chunk_seq long, rec_seq int")
+    rels = spark.createDataFrame([(f"n{i % 7}" if i % 11 else None, f"n{i * 3 % 6}", f"r{i}", 0.25 * (i % 9), f"c{i % 4}", i % 4, i) for i in range(80)], "source string, target string, description string, weight double, source_id string, chunk_seq long, rec_seq int")
+    merged = extraction.merge_entities(ents)
+    want = [graph.collapse_nodes(merged), graph.collapse_edges(extraction.without_orphans(extraction.merge_relations(rels), merged))]
+    plans, write = {}, Scratch.table
+
+    def table(self, df, name, *a, **k):
+        out = write(self, df, name, *a, **k)
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return out
+
+    monkeypatch.setattr(Scratch, "table", table)
+    for few in (graph.FEW, 0):
+        monkeypatch.setattr(graph, "FEW", few)
+        got = graph.build(ents, rels, Scratch(spark, "built"))
+        for g, w in zip(got, want, strict=True):
+            assert sorted(map(str, g.collect())) == sorted(map(str, w.select(*g.columns).collect()))
+    for name in ("nodes", "edges"):
+        assert plans[name].count("Exchange hashpartitioning") == 1
+    assert any(r.name in ("n5", "n6") for r in rels.selectExpr("source AS name").collect())
