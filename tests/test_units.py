@@ -191,3 +191,20 @@ def test_graph_is_dealt_once(spark, monkeypatch):
     for name in ("nodes", "edges"):
         assert plans[name].count("Exchange hashpartitioning") == 1
     assert any(r.name in ("n5", "n6") for r in rels.selectExpr("source AS name").collect())
+
+
+def test_rule_says(spark, monkeypatch):
+    """What the rule backend says of odd texts, in one pass, a few characters at a time."""
+    from loomgraph.sources import completions
+
+    texts = ["Abcd efgh Ijklm ABCDEfgh Éclair Ab Abc Wxyz", "", None, "none", "Only", "Same Same"]
+    rows = spark.createDataFrame([(f"c{i}", t, i) for i, t in enumerate(texts)], "id string, text string, chunk_seq long").coalesce(1)
+    end, types = "\n##\n<|COMPLETE|>", extraction.ENTITY_TYPES
+    ent = lambda t, i: f'("entity"<|>{t}<|>{types[(len(t) + i) % 8]}<|>{t} at {i})'
+    rel = lambda a, b: f'("relationship"<|>{a}<|>{b}<|>{a} then {b}<|>{len(a) % 10 + 1})'
+    want = ["\n##\n".join([ent("Abcd", 0), ent("Ijklm", 1), ent("Efgh", 2), ent("Wxyz", 3), rel("Abcd", "Ijklm"), rel("Ijklm", "Efgh"), rel("Efgh", "Wxyz")]) + end, end, end, end, ent("Only", 0) + end, "\n##\n".join([ent("Same", 0), ent("Same", 1), rel("Same", "Same")]) + end]
+    assert [r.t for r in rows.select("chunk_seq", completions.rule_text(F.col("text")).alias("t")).orderBy("chunk_seq").collect()] == want
+    monkeypatch.setattr(completions, "HELD", 40)
+    said = completions.rule(rows)
+    assert [(r.chunk_id, r.result) for r in said.orderBy("chunk_seq").collect()] == [(f"c{i}", w) for i, w in enumerate(want)]
+    assert "lambda" not in said._jdf.queryExecution().optimizedPlan().toString()
