@@ -208,3 +208,31 @@ def test_rule_says(spark, monkeypatch):
     said = completions.rule(rows)
     assert [(r.chunk_id, r.result) for r in said.orderBy("chunk_seq").collect()] == [(f"c{i}", w) for i, w in enumerate(want)]
     assert "lambda" not in said._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_samples_look_up_named_chunks_once(spark):
+    """Chunks no walk names are neither dealt nor looked up, and prompts are made and
+    calls are asked once, however many uses their answers have."""
+    from loomgraph.operators import qa as q
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        seen.add(1)
+        return text
+
+    told = F.udf(count, "string").asNondeterministic()
+    edge = [(1.0, ["r"], ["c0"])]
+    w = spark.createDataFrame([(i, ["A", "B"], ["x", "y"], [f"c{i}", f"c{i + 1}", ""], edge, 2) for i in range(4)], "cand long, nodes array<string>, node_descriptions array<string>, chunk_ids array<string>, edges array<struct<weight:double,description:array<string>,text_unit_ids:array<string>>>, chunks_crossed int")
+    chunks = spark.range(400).select(F.concat(F.lit("c"), F.col("id") % 200).alias("id"), F.concat(F.lit("text "), "id").alias("text"), F.col("id").alias("chunk_seq"))
+    said = f"Reasoning: {'r' * 40}\nQuestion: q?\nFinal Answer: z"
+    got = {}
+
+    def complete(rows):
+        got["prompt"] = {r.cand: r.chunks_text for r in rows.collect()}
+        return rows.withColumn("completion", told(F.when(F.col("cand") < 3, said).otherwise("SKIP")))
+
+    out = q.inter(w, chunks, complete, lambda rows: rows.withColumn("verdict", F.lit("PASS")))
+    assert sorted((r.cand, r.status) for r in out.collect()) == [(0, "ok"), (1, "ok"), (2, "ok"), (3, "unparsed")]
+    assert seen.value == 4
+    assert got["prompt"][0] == "[Passage 1]\ntext 200\n\n[Passage 2]\ntext 201"
